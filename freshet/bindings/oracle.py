@@ -68,12 +68,13 @@ def fit(keys: str, y: str, x: str, source: str, where: str = "true") -> str:
       from (select *, slope / std_error as t_stat
             from (select *, case when dof > 0 then sqrt(sse / dof / sxx) end as std_error
                   from (select *, greatest(syy - slope * sxy, 0) as sse,
-                               cast(n - 2 as double) as dof,
+                               cast(n as double) - 2 as dof,
                                case when sxx > 0 and syy > 0 then sxy * sxy / (sxx * syy) end as r2
-                        from (select {lead}regr_slope({y}, {x}) as slope,
-                                     regr_intercept({y}, {x}) as intercept,
+                        from (select {lead}case when regr_sxx({y}, {x}) > 0 then regr_slope({y}, {x}) end as slope,
+                                     case when regr_sxx({y}, {x}) > 0
+                                          then regr_intercept({y}, {x}) end as intercept,
                                      regr_sxx({y}, {x}) as sxx, regr_syy({y}, {x}) as syy,
-                                     regr_sxy({y}, {x}) as sxy, regr_count({y}, {x}) as n
+                                     regr_sxy({y}, {x}) as sxy, cast(regr_count({y}, {x}) as bigint) as n
                               from {source} where {where} {by}) as moments) as parts) as errors
            ) as tests where n > 0"""
 

@@ -1055,16 +1055,15 @@ def _(spark, sf):
     "target_trim_fit",
     f"select slope, intercept, std_error, t_stat, p, r2, n from "
     f"({duck.fit('', 'planted', 'f2', 'features', 'planted < 100')}) as f",
-    "slope,intercept,std_error,p,r2",
+    FIT_DOUBLES,
     "n",
-    7,
+    6,
 )
 def _(spark, sf):
     rows = features(spark, sf)
-    fits = regression.fit_lines(
+    return regression.fit_lines(
         rows, [], F.col("planted"), F.col("f2"), where=F.col("planted") < 100
     )
-    return fits.withColumn("t_stat", F.round("t_stat", 4))
 
 
 # --- forest workflow: rows-only checks -----------------------------------------------------

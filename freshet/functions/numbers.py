@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,20 +37,25 @@ def geometric_mean(value: Column) -> Column:
     return F.exp(F.avg(F.when(value > 0, F.ln(value))))
 
 
-def _running_total(first: Column, steps: Column, factor) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running_total(first: Column, steps: Column, factor: Callable[[Column], Column]) -> Column:
     """Sum of ``first`` and the terms each obtained from the last by ``factor(k)``."""
-    return F.aggregate(
-        steps,
-        F.struct(first.alias("term"), first.alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * factor(k)).alias("term"),
-            (acc["total"] + acc["term"] * factor(k)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
 
+    def add(acc: Column, k: Column) -> Column:
+        return let(
+            acc["term"] * factor(k),
+            lambda term: F.struct(term.alias("term"), (acc["total"] + term).alias("total")),
+        )
 
-def normal_two_sided(z: Column) -> Column:
+    start = F.struct(first.alias("term"), first.alias("total"))
+    return F.aggregate(steps, start, add, lambda acc: acc["total"])
+
+
+def _normal_two_sided(z: Column) -> Column:
     """P(|Z| > z) from the power series of the normal integral."""
     density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     series = _running_total(
@@ -58,42 +64,62 @@ def normal_two_sided(z: Column) -> Column:
     return F.when(z > 8.3, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - 2 * density * series))
 
 
+def normal_two_sided(z: Column) -> Column:
+    return let(z, _normal_two_sided)
+
+
+def _hill_z(t: Column, v: Column) -> Column:
+    """Normal deviate with nearly the tail of a t value (Hill, CACM 13, 1970)."""
+
+    def corrected(part: Column) -> Column:
+        z, b = part["z"], part["b"]
+        return (
+            z
+            + (z**3 + 3 * z) / b
+            - (4 * z**7 + 33 * z**5 + 240 * z**3 + 855 * z) / (10 * b * (b + 0.8 * z**4 + 100))
+        )
+
+    a = v - 0.5
+    start = F.struct(F.sqrt(a * F.ln(1 + t * t / v)).alias("z"), (48 * a * a).alias("b"))
+    return let(start, corrected)
+
+
+def _t_series(t: Column, v: Column) -> Column:
+    """Probability inside (-t, t) by the finite trigonometric series
+    (Abramowitz & Stegun 26.7.3-4); odd and even degrees of freedom differ."""
+
+    def total(part: Column) -> Column:
+        ratio, nu = part["ratio"], part["nu"]
+        odd = F.pmod(nu, F.lit(2)) == 1
+        start = F.when(odd, F.lit(3)).otherwise(F.lit(2))
+        steps = F.when(nu - 2 >= start, F.sequence(start, F.greatest(nu - 2, start), F.lit(2)))
+        first = F.when(nu == 1, F.lit(0.0)).when(odd, F.sqrt(ratio)).otherwise(F.lit(1.0))
+        none = F.array().cast("array<int>")
+        series = F.sqrt(1 - ratio) * _running_total(
+            first, F.coalesce(steps, none), lambda k: ratio * (k - 1) / k
+        )
+        angle = F.acos(F.sqrt(ratio))
+        return F.when(odd, (angle + series) * (2 / math.pi)).otherwise(series)
+
+    start = F.struct((v / (v + t * t)).alias("ratio"), v.cast("int").alias("nu"))
+    return let(start, total)
+
+
 def t_two_sided(t: Column, dof: Column, exact_up_to: int = 2000) -> Column:
     """Two-sided Student-t tail probability.
 
-    Finite trigonometric series (Abramowitz & Stegun 26.7.3-4) up to
-    ``exact_up_to`` degrees of freedom; beyond it, Hill's normal transform
-    (Commun. ACM 13, 1970), which there agrees to about 1e-12, so the cost per
-    group does not grow with its row count.
+    A finite series up to ``exact_up_to`` degrees of freedom; beyond it a normal
+    transform that agrees there to about 1e-12, so the cost of a group does not
+    grow with its row count. An infinite t gives 0.
     """
-    v = dof.cast("double")
-    size = F.abs(t)
-    infinite = size == float("inf")
-    size = F.when(infinite, F.lit(0.0)).otherwise(size)
-    ratio = v / (v + size * size)
-    angle = F.atan(size / F.sqrt(v))
-    cosine = F.sqrt(ratio)
-    sine = F.sqrt(1 - ratio)
-    odd = F.pmod(dof.cast("int"), F.lit(2)) == 1
-
-    last = F.least(dof.cast("int"), F.lit(exact_up_to)) - 2
-    start = F.when(odd, F.lit(3)).otherwise(F.lit(2))
-    steps = F.when(last >= start, F.sequence(start, F.greatest(last, start), F.lit(2))).otherwise(
-        F.array().cast("array<int>")
-    )
-    first = F.when(odd & (v == 1), F.lit(0.0)).when(odd, cosine).otherwise(F.lit(1.0))
-    total = _running_total(first, steps, lambda k: ratio * (k - 1) / k)
-    inside = F.when(odd, (angle + sine * total) * (2 / math.pi)).otherwise(sine * total)
 
-    a = v - 0.5
-    b = 48 * a * a
-    z = F.sqrt(a * F.ln(1 + size * size / v))
-    z = z + (z**3 + 3 * z) / b - (4 * z**7 + 33 * z**5 + 240 * z**3 + 855 * z) / (
-        10 * b * (b + 0.8 * z**4 + 100)
-    )
-    return (
-        F.when(t.isNull() | (v < 1), F.lit(None))
-        .when(infinite, F.lit(0.0))
-        .when(v <= exact_up_to, F.greatest(F.lit(0.0), 1 - inside))
-        .otherwise(normal_two_sided(z))
-    )
+    def tail(part: Column) -> Column:
+        size, v = part["size"], part["v"]
+        return (
+            F.when(size == float("inf"), F.lit(0.0))
+            .when(v <= exact_up_to, F.greatest(F.lit(0.0), 1 - _t_series(size, v)))
+            .otherwise(normal_two_sided(_hill_z(size, v)))
+        )
+
+    parts = F.struct(F.abs(t).alias("size"), dof.cast("double").alias("v"))
+    return F.when(t.isNotNull() & (dof >= 1), let(parts, tail))

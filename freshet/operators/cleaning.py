@@ -29,7 +29,7 @@ DATE_FORMAT = "M/d/yyyy"
 
 def complete_cases(df: DataFrame) -> DataFrame:
     """Rows with no missing value in any column (run before projecting columns away)."""
-    return df.na.drop("any")
+    return df.where(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in df.columns]))
 
 
 def clean_samples(

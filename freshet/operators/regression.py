@@ -18,58 +18,79 @@ LINE = ("slope", "intercept", "std_error", "t_stat", "p", "r2", "n")
 GLANCE = ("adj_r2", "sigma", "f_stat", "log_lik", "aic", "bic", "deviance", "df_residual")
 
 
-def _moments(y: Column, x: Column, name: str, where: Column | None) -> list[Column]:
-    """Six partial aggregates; a row counts only if both sides are known."""
+def _paired(y: Column, x: Column, where: Column | None, name: str) -> dict[str, Column]:
+    """Both sides as columns, missing together: a row counts if both are known."""
     use = y.isNotNull() & x.isNotNull()
     if where is not None:
         use = use & where
-    y, x = F.when(use, y), F.when(use, x)
-    return [
-        F.count(x).alias(f"{name}_n"),
-        F.avg(x).alias(f"{name}_mx"),
-        F.avg(y).alias(f"{name}_my"),
-        F.regr_sxx(y, x).alias(f"{name}_sxx"),
-        F.regr_syy(y, x).alias(f"{name}_syy"),
-        F.regr_sxy(y, x).alias(f"{name}_sxy"),
-    ]
+    return {f"_y_{name}": F.when(use, y), f"_x_{name}": F.when(use, x)}
+
+
+def _moments(name: str) -> Column:
+    """Six partial aggregates of a ``_paired`` pair, as one struct. Pairs are
+    projected before grouping so that each logarithm is taken once per row."""
+    y, x = F.col(f"_y_{name}"), F.col(f"_x_{name}")
+    return F.struct(
+        F.count(x).alias("n"),
+        F.avg(x).alias("mx"),
+        F.avg(y).alias("my"),
+        F.regr_sxx(y, x).alias("sxx"),
+        F.regr_syy(y, x).alias("syy"),
+        F.regr_sxy(y, x).alias("sxy"),
+    )
 
 
-def _line(name: str) -> dict[str, Column]:
-    """Closed-form least squares from the moments called ``name``.
+def _add_line(df: DataFrame, moments: str = "moments", suffix: str = "") -> DataFrame:
+    """Closed-form least squares from a ``_moments`` struct, as suffixed columns.
 
     Without spread in x there is no slope; without spread in y no r2; below
-    three points no test. An exact fit has an infinite t and p = 0.
+    three points no test. An exact fit has an infinite t and p = 0. Each step is
+    its own projection, so later ones read columns, not repeated expressions.
     """
     n, mx, my, sxx, syy, sxy = (
-        F.col(f"{name}_{m}") for m in ("n", "mx", "my", "sxx", "syy", "sxy")
+        F.col(f"{moments}.{m}") for m in ("n", "mx", "my", "sxx", "syy", "sxy")
+    )
+
+    def made(name: str) -> Column:
+        return F.col(name + suffix)
+
+    def add(**columns: Column) -> None:
+        nonlocal df
+        df = df.withColumns({name + suffix: value for name, value in columns.items()})
+
+    add(n=n, df_residual=n - 2, slope=F.when(sxx > 0, F.try_divide(sxy, sxx)))
+    add(
+        intercept=my - made("slope") * mx,
+        deviance=F.greatest(syy - made("slope") * sxy, F.lit(0.0)),
+        r2=F.when((sxx > 0) & (syy > 0), F.try_divide(sxy * sxy, sxx * syy)),
+    )
+    dof = made("df_residual")
+    add(sigma=F.when(dof > 0, F.sqrt(F.try_divide(made("deviance"), dof))))
+    add(std_error=F.try_divide(made("sigma"), F.sqrt(sxx)))
+    slope, error = made("slope"), made("std_error")
+    add(
+        t_stat=F.when(error > 0, F.try_divide(slope, error)).when(
+            (error == 0) & (slope != 0), F.signum(slope) * F.lit(float("inf"))
+        )
     )
-    slope = F.when(sxx > 0, F.try_divide(sxy, sxx))
-    dof = n - 2
-    deviance = F.greatest(syy - slope * sxy, F.lit(0.0))
-    sigma = F.when(dof > 0, F.sqrt(F.try_divide(deviance, dof)))
-    std_error = F.try_divide(sigma, F.sqrt(sxx))
-    t_stat = F.when(std_error > 0, F.try_divide(slope, std_error)).when(
-        (std_error == 0) & (slope != 0), F.signum(slope) * F.lit(float("inf"))
+    add(p=t_two_sided(made("t_stat"), dof))
+    return df
+
+
+def _add_glance(df: DataFrame) -> DataFrame:
+    n, dof, deviance = F.col("n"), F.col("df_residual"), F.col("deviance")
+    return df.withColumns(
+        {
+            "adj_r2": F.when(dof > 0, 1 - (1 - F.col("r2")) * F.try_divide(n - 1, dof)),
+            "f_stat": F.col("t_stat") * F.col("t_stat"),
+            "log_lik": -n / 2 * (math.log(2 * math.pi) + F.ln(F.try_divide(deviance, n)) + 1),
+        }
+    ).withColumns(
+        {
+            "aic": -2 * F.col("log_lik") + 6,
+            "bic": -2 * F.col("log_lik") + 3 * F.ln(n),
+        }
     )
-    r2 = F.when((sxx > 0) & (syy > 0), F.try_divide(sxy * sxy, sxx * syy))
-    log_lik = -n / 2 * (math.log(2 * math.pi) + F.ln(F.try_divide(deviance, n)) + 1)
-    return {
-        "slope": slope,
-        "intercept": my - slope * mx,
-        "std_error": std_error,
-        "t_stat": t_stat,
-        "p": t_two_sided(t_stat, dof),
-        "r2": r2,
-        "n": n,
-        "adj_r2": F.when(dof > 0, 1 - (1 - r2) * F.try_divide(n - 1, dof)),
-        "sigma": sigma,
-        "f_stat": t_stat * t_stat,
-        "log_lik": log_lik,
-        "aic": -2 * log_lik + 6,
-        "bic": -2 * log_lik + 3 * F.ln(n),
-        "deviance": deviance,
-        "df_residual": dof,
-    }
 
 
 def fit_lines(
@@ -81,14 +102,15 @@ def fit_lines(
     glance: bool = False,
 ) -> DataFrame:
     """Least-squares ``y = intercept + slope * x`` per group."""
-    line = _line("m")
-    names = LINE + (GLANCE if glance else ())
-    return (
-        df.groupBy(*keys)
-        .agg(*_moments(y, x, "m", where))
-        .where(F.col("m_n") > 0)
-        .select(*keys, *[line[c].alias(c) for c in names])
+    lines = _add_line(
+        df.withColumns(_paired(y, x, where, "line"))
+        .groupBy(*keys)
+        .agg(_moments("line").alias("moments"))
+        .where(F.col("moments.n") > 0)
     )
+    if glance:
+        return _add_glance(lines).select(*keys, *LINE, *GLANCE)
+    return lines.select(*keys, *LINE)
 
 
 def fit_scenarios(
@@ -98,17 +120,19 @@ def fit_scenarios(
     scenarios: Mapping[str, tuple[Column, Column | None]],
 ) -> DataFrame:
     """Several fits (predictor, row condition) in one pass, stacked as rows."""
-    moments, fits = [], []
-    for i, (label, (x, where)) in enumerate(scenarios.items()):
-        moments += _moments(y, x, f"s{i}", where)
-        line = _line(f"s{i}")
-        fits.append(F.struct(F.lit(label).alias("scenario"), *[line[c].alias(c) for c in LINE]))
-    return (
-        df.groupBy(*keys)
-        .agg(*moments)
-        .select(*keys, F.inline(F.array(*fits)))
-        .where(F.col("n") > 0)
+    stacked = [
+        F.struct(F.lit(label).alias("scenario"), F.col(f"s{i}").alias("moments"))
+        for i, label in enumerate(scenarios)
+    ]
+    names = [f"s{i}" for i in range(len(scenarios))]
+    pairs = {}
+    for name, (x, where) in zip(names, scenarios.values()):
+        pairs |= _paired(y, x, where, name)
+    groups = (
+        df.withColumns(pairs).groupBy(*keys).agg(*[_moments(name).alias(name) for name in names])
     )
+    rows = groups.select(*keys, F.inline(F.array(*stacked))).where(F.col("moments.n") > 0)
+    return _add_line(rows).select(*keys, "scenario", *LINE)
 
 
 def with_residuals(df: DataFrame, keys: Sequence[str], y: Column, x: Column) -> DataFrame:
@@ -150,15 +174,18 @@ def regression_compare(
     """Fit with all rows (1) and without late-summer low flows (2), both in one
     pass, with flags for what changed. A station left empty by (2) drops out."""
     y, x = log_log()
-    one, two = _line("all"), _line("held")
-    sides = [one[c].alias(f"{c}1") for c in LINE] + [two[c].alias(f"{c}2") for c in LINE]
+    groups = (
+        samples.withColumns(_paired(y, x, None, "all"))
+        .withColumns(_paired(F.col("_y_all"), F.col("_x_all"), ~is_held_out(season), "kept"))
+        .groupBy(*keys)
+        .agg(_moments("all").alias("all_rows"), _moments("kept").alias("kept_rows"))
+        .where((F.col("all_rows.n") > 0) & (F.col("kept_rows.n") > 0))
+    )
     col = F.col
+    compared = ("slope", "t_stat", "p", "r2", "n")
     return (
-        samples.groupBy(*keys)
-        .agg(*_moments(y, x, "all", None), *_moments(y, x, "held", ~is_held_out(season)))
-        .where((col("all_n") > 0) & (col("held_n") > 0))
-        .select(*keys, *sides)
-        .drop("intercept1", "intercept2", "std_error1", "std_error2")
+        _add_line(_add_line(groups, "all_rows", "1"), "kept_rows", "2")
+        .select(*keys, *[f"{c}{side}" for side in "12" for c in compared])
         .withColumns(
             {
                 "slope_change": flag(col("slope2") > col("slope1"), "Yes", "No"),

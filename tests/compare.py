@@ -24,6 +24,7 @@ def local_session(cores: int = 8) -> SparkSession:
         .appName("freshet-checks")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
@@ -48,9 +49,12 @@ def canonical(columns, rows):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def difference(spark, con, query, sql, sf_dir) -> str | None:
+def spark_rows(spark, query, sf_dir):
     df = query(spark, sf_dir)
-    got_columns, got = df.columns, [tuple(r) for r in df.collect()]
+    return df.columns, [tuple(r) for r in df.collect()]
+
+
+def difference(got_columns, got, con, sql) -> str | None:
     result = con.execute(sql)
     want_columns = [d[0] for d in result.description]
     want = result.fetchall()
@@ -70,19 +74,21 @@ def main(sf_dir: str, names: list[str]) -> int:
     runs, expected = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in names or runs:
-        start = time.time()
+        start, took = time.time(), 0.0
         try:
+            columns, rows = spark_rows(spark, runs[name], sf_dir)
+            took = time.time() - start
             if name in expected:
-                note = difference(spark, con, runs[name], expected[name], sf_dir)
+                note = difference(columns, rows, con, expected[name])
             else:
-                rows = runs[name](spark, sf_dir).collect()
                 note = None if rows else "no rows"
         except Exception as error:  # report and go on with the next query
             note = f"{type(error).__name__}: {str(error)[:600]}"
         bad += note is not None
         mark = "ok " if note is None else "BAD"
         kind = "O" if name in expected else "R"
-        print(f"{mark} {kind} {name} {time.time() - start:.2f}s {note or ''}", flush=True)
+        size = len(rows) if note is None else ""
+        print(f"{mark} {kind} {name} {took:.2f}s {size} {note or ''}", flush=True)
     print(f"{len(names or runs)} queries, {bad} differ")
     return bad
 
