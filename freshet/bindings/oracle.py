@@ -39,7 +39,9 @@ def pivoted(ids: str, value: str, source: str) -> str:
 
 
 def t_tail(t: str, dof: str) -> str:
-    """Two-sided Student-t tail by gamma-function coefficients."""
+    """Two-sided Student-t tail. For |t| >= 2 the positive series of the
+    incomplete beta function with gamma-function coefficients (no cancellation,
+    so tiny values compare), else one minus the finite trigonometric series."""
     c2 = f"({dof} / ({dof} + {t} * {t}))"
     sine = f"sqrt(1 - {c2})"
     even = (
@@ -51,10 +53,17 @@ def t_tail(t: str, dof: str) -> str:
         f"lambda m: exp(lgamma(m + 1e0) - lgamma(m + 1.5e0)) * sqrt(pi()) / 2 "
         f"* pow({c2}, m + 0.5e0))), 0)"
     )
+    far = (
+        f"{sine} / sqrt(pi()) * list_sum(list_transform("
+        f"range(0, cast(ceil(45 / -ln({c2})) as bigint)), "
+        f"lambda m: exp(lgamma({dof} / 2 + 0.5e0 + m) - lgamma({dof} / 2 + 1e0 + m)"
+        f" + ({dof} / 2 + m) * ln({c2}))))"
+    )
     return (
         f"case when {t} is null or {dof} < 1 then null "
-        f"when {dof} % 2 = 0 then greatest(0, 1 - {sine} * {even}) "
-        f"else greatest(0, 1 - 2 / pi() * (atan(abs({t}) / sqrt({dof})) + {sine} * {odd})) end"
+        f"when abs({t}) >= 2 then {far} "
+        f"when {dof} % 2 = 0 then 1 - {sine} * {even} "
+        f"else 1 - 2 / pi() * (atan(abs({t}) / sqrt({dof})) + {sine} * {odd}) end"
     )
 
 

@@ -29,7 +29,7 @@ from freshet.operators import (
 from freshet.operators.sizing import summarised
 from freshet.plans import stations, tables
 from freshet.sources import readers, schemas, sinks
-from freshet.sources.workspace import fresh_path
+from freshet.sources.workspace import fresh_path, stored
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,7 @@ EVENTS = ((1997, 8), (1998, 8), (1998, 9))
 EVENT_BASINS = ("LS", "CO")
 LIMITS = {"srp": 0.1, "flow_cfs": 40.0}
 TILE_SCALE = 10.0
+# Rows added to the description table by hand.
 ADDED = (
     ("Phos_Crop_UptakeWs", 0.0037147074, "Phosphorus uptake by crops in the watershed"),
     ("Phos_Crop_UptakeCat", 0.0003853966, "Phosphorus update by crops in the catchment"),
@@ -1074,8 +1075,8 @@ def model_rows(spark, sf):
     rows = splitting.exact_split(features(spark, sf), "row_id").select(
         "row_id", "split", "planted", *PREDICTORS
     )
-    medians = splitting.median_fill(rows.where(F.col("split") == "train"), ["temp1"])
-    return rows.fillna(medians)
+    rows = stored(rows, "model-rows")
+    return rows.fillna(splitting.median_fill(train_of(rows), ["temp1"]))
 
 
 def train_of(rows):
@@ -1085,13 +1086,13 @@ def train_of(rows):
 @register("forest_impute")
 def _(spark, sf):
     rows = splitting.exact_split(features(spark, sf), "row_id")
-    train = train_of(rows).select("row_id", *PREDICTORS)
+    train = stored(train_of(rows).select("row_id", *PREDICTORS), "train")
     return forest.fit_imputer(train, PREDICTORS, trees=5, max_rounds=2).transform(train)
 
 
 @register("forest_impute_apply")
 def _(spark, sf):
-    rows = splitting.exact_split(features(spark, sf), "row_id")
+    rows = stored(splitting.exact_split(features(spark, sf), "row_id"), "split")
     imputer = forest.fit_imputer(train_of(rows), PREDICTORS, trees=5, max_rounds=2)
     test = rows.where(F.col("split") == "test").select("row_id", *PREDICTORS)
     return imputer.transform(test)

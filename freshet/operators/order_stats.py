@@ -40,9 +40,10 @@ def place(
     """Add ``below`` (rows ordered before this one) and ``total`` (rows of the group).
 
     ``band`` must not decrease along ``order``; rows carry their weight in ``rows``.
+    The input is stored first, because it is read for both levels.
     """
     keys = list(keys)
-    banded = tallied.withColumn("_band", band)
+    banded = stored(tallied, "to-place").withColumn("_band", band)
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(*earlier)
     across = Window.partitionBy(*keys)
