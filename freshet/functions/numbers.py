@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,135 +36,112 @@ def geometric_mean(value: Column) -> Column:
     return F.exp(F.avg(F.when(value > 0, F.ln(value))))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+# The tail functions below are written as SQL text: one parsed expression instead
+# of some thousand column objects built from Python.
+
+
+def _let(value: str, name: str, body: str) -> str:
     """``body`` of a value computed once, however often the body mentions it."""
-    return F.transform(F.array(value), lambda once: body(once))[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _folded(start: Column, steps: int, advance, finish) -> Column:
-    """A fixed number of steps over a small state, inside one expression."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance, finish)
+def _fold(start: str, steps: int, advance: str, finish: str) -> str:
+    """A fixed number of steps over a small ``state``, counted by ``k``."""
+    return f"aggregate(sequence(1, {steps}), {start}, (state, k) -> {advance}, state -> {finish})"
 
 
-def _log_gamma_ratio(z: Column) -> Column:
+def _log_gamma_ratio(z: str) -> str:
     """ln(gamma(z + 1/2) / gamma(z)): asymptotic series at z + 8, stepped back by
     the recurrence gamma(z + 1) = z gamma(z)."""
-    step_back = F.lit(1.0)
-    for j in range(8):
-        step_back = step_back * (z + j) / (z + (j + 0.5))
-    w = z + 8
+    step_back = " * ".join(f"({z} + {j}) / ({z} + {j}.5D)" for j in range(8))
     series = (
-        F.ln(w) / 2
-        - 1 / (8 * w)
-        + 1 / (192 * w**3)
-        - 1 / (640 * w**5)
-        + 17 / (14336 * w**7)
-        - 31 / (18432 * w**9)
+        "ln(w) / 2 - 1 / (8 * w) + 1 / (192 * pow(w, 3)) - 1 / (640 * pow(w, 5))"
+        " + 17 / (14336 * pow(w, 7)) - 31 / (18432 * pow(w, 9))"
     )
-    return F.ln(step_back) + series
+    return f"(ln({step_back}) + {_let(f'{z} + 8', 'w', series)})"
 
 
-def _beta_fraction(a: Column, b: Column, x: Column, steps: int = 160) -> Column:
+def _beta_fraction(a: str, b: str, x: str, steps: int = 40) -> str:
     """Continued fraction of the incomplete beta function, evaluated forwards
-    (modified Lentz). Converges fast for x below (a + 1) / (a + b + 2)."""
-
-    def half(state: Column, gain: Column) -> Column:
-        def ends(ratio: Column) -> Column:
-            return F.struct(
-                ratio["c"].alias("c"), ratio["d"].alias("d"),
-                (state["h"] * ratio["c"] * ratio["d"]).alias("h"),
-            )
+    (modified Lentz). On its fast side 30 steps reach 1e-13 for every order used."""
 
-        pair = F.struct(
-            (1 + gain / state["c"]).alias("c"), (1 / (1 + gain * state["d"])).alias("d")
+    def half(state: str, gain: str, name: str) -> str:
+        pair = (
+            f"named_struct('c', 1 + {gain} / {state}.c, 'd', 1 / (1 + {gain} * {state}.d))"
         )
-        return let(pair, ends)
-
-    def advance(state: Column, k: Column) -> Column:
-        even = k * (b - k) * x / ((a - 1 + 2 * k) * (a + 2 * k))
-        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 1 + 2 * k))
-        return let(half(state, even), lambda between: half(between, odd))
-
-    d = 1 / (1 - (a + b) * x / (a + 1))
-    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
-    return _folded(start, steps, advance, lambda state: state["h"])
+        product = f"{state}.h * {name}.c * {name}.d"
+        return _let(pair, name, f"named_struct('c', {name}.c, 'd', {name}.d, 'h', {product})")
+
+    even = f"(k * ({b} - k) * {x} / (({a} - 1 + 2 * k) * ({a} + 2 * k)))"
+    odd = f"(-({a} + k) * ({a} + {b} + k) * {x} / (({a} + 2 * k) * ({a} + 1 + 2 * k)))"
+    advance = _let(half("state", even, "first"), "mid", half("mid", odd, "second"))
+    start = _let(
+        f"1 / (1 - ({a} + {b}) * {x} / ({a} + 1))", "d", "named_struct('c', 1D, 'd', d, 'h', d)"
+    )
+    return _fold(start, steps, advance, "state.h")
 
 
-def _t_tail(size: Column, v: Column) -> Column:
+def _t_tail(t: str, v: str) -> str:
     """Regularised incomplete beta I_x(v/2, 1/2) at x = v / (v + t^2), from the
     side on which its continued fraction converges fast. Far tails keep their
     relative accuracy because nothing is subtracted from one."""
-
-    def value(part: Column) -> Column:
-        a, x, y = part["a"], part["x"], part["y"]
-        half = F.lit(0.5)
-        log_front = a * F.ln(x) + F.ln(y) / 2 + _log_gamma_ratio(a) - math.log(math.pi) / 2
-        near_tail = F.exp(log_front) * _beta_fraction(a, half, x) / a
-        far_side = 1 - F.exp(log_front) * _beta_fraction(half, a, y) * 2
-        return (
-            F.when(y == 0, F.lit(1.0))
-            .when(x < (a + 1) / (a + 2.5), near_tail)
-            .otherwise(far_side)
-        )
-
-    square = size * size
-    start = F.struct(
-        (v / 2).alias("a"), (v / (v + square)).alias("x"), (square / (v + square)).alias("y")
+    front = (
+        f"exp(b.a * ln(b.x) + ln(b.y) / 2 + {_log_gamma_ratio('b.a')} - {math.log(math.pi) / 2}D)"
     )
-    return let(start, value)
+    value = (
+        f"case when b.y = 0 then 1D "
+        f"when b.x < (b.a + 1) / (b.a + 2.5D) then {front} * {_beta_fraction('b.a', '0.5D', 'b.x')} / b.a "
+        f"else 1 - {front} * {_beta_fraction('0.5D', 'b.a', 'b.y')} * 2 end"
+    )
+    square = f"({t} * {t})"
+    parts = (
+        f"named_struct('a', {v} / 2, 'x', {v} / ({v} + {square}), 'y', {square} / ({v} + {square}))"
+    )
+    return _let(parts, "b", value)
 
 
-def _normal_tail(z: Column, steps: int = 160) -> Column:
+def _normal_tail(z: str, steps: int = 160) -> str:
     """P(|Z| > z): power series below 3, Laplace's continued fraction above."""
-    density = F.exp(-z * z / 2) * math.sqrt(2 / math.pi)
-
-    def add(state: Column, k: Column) -> Column:
-        return let(
-            state["term"] * z * z / (2 * k + 1),
-            lambda term: F.struct(term.alias("term"), (state["total"] + term).alias("total")),
-        )
-
-    start = F.struct(z.alias("term"), z.alias("total"))
-    series = _folded(start, steps, add, lambda state: state["total"])
-    fraction = _folded(z, steps, lambda state, k: z + (steps + 1 - k) / state, lambda state: state)
-    return F.when(z < 3, 1 - density * series).otherwise(density / fraction)
-
-
-def normal_two_sided(z: Column) -> Column:
-    return let(z, _normal_tail)
+    density = f"(exp(-{z} * {z} / 2) * {math.sqrt(2 / math.pi)}D)"
+    term = f"state.term * {z} * {z} / (2 * k + 1)"
+    series = _fold(
+        f"named_struct('term', {z}, 'total', {z})",
+        steps,
+        _let(term, "term", "named_struct('term', term, 'total', state.total + term)"),
+        "state.total",
+    )
+    fraction = _fold(z, steps, f"{z} + ({steps + 1} - k) / state", "state")
+    return f"case when {z} < 3 then 1 - {density} * {series} else {density} / {fraction} end"
 
 
-def _hill_z(t: Column, v: Column) -> Column:
+def _hill_z(t: str, v: str) -> str:
     """Normal deviate with nearly the tail of a t value (Hill, CACM 13, 1970)."""
+    bent = (
+        "h.z + (pow(h.z, 3) + 3 * h.z) / h.b"
+        " - (4 * pow(h.z, 7) + 33 * pow(h.z, 5) + 240 * pow(h.z, 3) + 855 * h.z)"
+        " / (10 * h.b * (h.b + 0.8D * pow(h.z, 4) + 100))"
+    )
+    a = f"({v} - 0.5D)"
+    parts = f"named_struct('z', sqrt({a} * log1p({t} * {t} / {v})), 'b', 48 * {a} * {a})"
+    return _let(parts, "h", bent)
 
-    def corrected(part: Column) -> Column:
-        z, b = part["z"], part["b"]
-        return (
-            z
-            + (z**3 + 3 * z) / b
-            - (4 * z**7 + 33 * z**5 + 240 * z**3 + 855 * z) / (10 * b * (b + 0.8 * z**4 + 100))
-        )
 
-    a = v - 0.5
-    start = F.struct(F.sqrt(a * F.log1p(t * t / v)).alias("z"), (48 * a * a).alias("b"))
-    return let(start, corrected)
+def normal_two_sided(z: str) -> Column:
+    """P(|Z| > z) of a non-negative double column or SQL expression."""
+    return F.expr(_let(z, "z", _normal_tail("z")))
 
 
-def t_two_sided(t: Column, dof: Column, beta_up_to: int = 2000) -> Column:
-    """Two-sided Student-t tail probability.
+def t_two_sided(t: str, dof: str, beta_up_to: int = 2000) -> Column:
+    """Two-sided Student-t tail probability of two columns or SQL expressions.
 
     An incomplete beta function up to ``beta_up_to`` degrees of freedom; beyond
     it a normal transform, so the cost of a group does not grow with its row
     count. An infinite t gives 0.
     """
-
-    def tail(part: Column) -> Column:
-        size, v = part["size"], part["v"]
-        return (
-            F.when(size == float("inf"), F.lit(0.0))
-            .when(v <= beta_up_to, _t_tail(size, v))
-            .otherwise(normal_two_sided(_hill_z(size, v)))
-        )
-
-    parts = F.struct(F.abs(t).alias("size"), dof.cast("double").alias("v"))
-    return F.when(t.isNotNull() & (dof >= 1), let(parts, tail))
+    tail = (
+        f"case when s.t = double('infinity') then 0D "
+        f"when s.v <= {beta_up_to} then {_t_tail('s.t', 's.v')} "
+        f"else {_let(_hill_z('s.t', 's.v'), 'z', _normal_tail('z'))} end"
+    )
+    parts = f"named_struct('t', abs({t}), 'v', double({dof}))"
+    return F.expr(f"case when {t} is not null and {dof} >= 1 then {_let(parts, 's', tail)} end")

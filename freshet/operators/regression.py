@@ -73,7 +73,7 @@ def _add_line(df: DataFrame, moments: str = "moments", suffix: str = "") -> Data
             (error == 0) & (slope != 0), F.signum(slope) * F.lit(float("inf"))
         )
     )
-    add(p=t_two_sided(made("t_stat"), dof))
+    add(p=t_two_sided("t_stat" + suffix, "df_residual" + suffix))
     return df
 
 

@@ -90,30 +90,30 @@ T_POINTS = [
 
 def test_t_tail_points(spark):
     df = spark.createDataFrame([(t, v) for t, v, _ in T_POINTS], "t double, v bigint")
-    got = [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("v"))).collect()]
+    got = [r[0] for r in df.select(t_two_sided("t", "v")).collect()]
     assert got == pytest.approx([p for *_, p in T_POINTS], abs=1e-8)
 
 
 def test_t_tail_is_continuous_where_the_method_changes(spark):
     points = [(t, v) for t in (0.01, 0.5, 1.0, 3.0, 8.0, 20.0) for v in (2000, 2001)]
     df = spark.createDataFrame(points, "t double, v bigint")
-    got = [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("v"))).collect()]
+    got = [r[0] for r in df.select(t_two_sided("t", "v")).collect()]
     for low, high in zip(got[::2], got[1::2]):
         assert low == pytest.approx(high, rel=5e-2) and low >= high
     one = spark.createDataFrame([(2.0, 2001)], "t double, v bigint")
-    exact = one.select(t_two_sided(F.col("t"), F.col("v"), beta_up_to=5000)).first()[0]
-    near = one.select(t_two_sided(F.col("t"), F.col("v"), beta_up_to=5)).first()[0]
+    exact = one.select(t_two_sided("t", "v", beta_up_to=5000)).first()[0]
+    near = one.select(t_two_sided("t", "v", beta_up_to=5)).first()[0]
     assert near == pytest.approx(exact, rel=1e-10)
 
 
 def test_t_tail_without_degrees_of_freedom(spark):
     df = spark.createDataFrame([(1.0, 0), (None, 5)], "t double, v bigint")
-    assert [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("v"))).collect()] == [None, None]
+    assert [r[0] for r in df.select(t_two_sided("t", "v")).collect()] == [None, None]
 
 
 def test_normal_tail(spark):
     zs = [0.0, 0.5, 2.9, 3.1, 9.0, 30.0]
-    got = column(spark, zs, "double", normal_two_sided(F.col("v")))
+    got = column(spark, zs, "double", normal_two_sided("v"))
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in zs], rel=1e-10)
 
 
@@ -123,5 +123,5 @@ PRINTED = [(10.66, 128, 0.0), (4.84, 128, 0.0), (3.75, 23, 0.0), (-0.7, 40, 0.49
 
 def test_printed_p_values_follow_from_t_and_n(spark):
     df = spark.createDataFrame([(t, n - 2) for t, n, _ in PRINTED], "t double, v bigint")
-    got = [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("v"))).collect()]
+    got = [r[0] for r in df.select(t_two_sided("t", "v")).collect()]
     assert [round(p, 2) for p in got] == pytest.approx([p for *_, p in PRINTED], abs=0.011)
