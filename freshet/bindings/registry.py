@@ -1019,6 +1019,7 @@ SCALED = ("target", "f1", "f2", "f3")
 )
 def _(spark, sf):
     rows = splitting.exact_split(features(spark, sf), "row_id").select("row_id", "split", *SCALED)
+    rows = stored(rows, "split")
     return splitting.standardize(rows, SCALED, rows.where(F.col("split") == "train"))
 
 

@@ -116,15 +116,21 @@ def quantiles(
 
 
 def quantiles_of(
-    placed: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
+    placed: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Quantiles from ``cumulate`` output free of missing values."""
+    """Quantiles from ``cumulate`` output free of missing values, with any
+    further aggregates of the same groups."""
 
     def at(position: Column) -> Column:
         here = (F.col("below") <= position) & (position < F.col("below") + F.col("rows"))
         return F.max(F.when(here, F.col(value)))
 
-    picks, results = [], []
+    picks = [expr.alias(name) for name, expr in (also or {}).items()]
+    results = [F.col(name) for name in also or {}]
     for name, p in probabilities.items():
         position = (F.col("total") - 1) * F.lit(float(p))
         picks += [

@@ -107,14 +107,13 @@ def samples_per_site_stats(
 ) -> DataFrame:
     """Mean, median, least and most rows per station."""
     per_site = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    others = {
+        "mean_n": F.sum(F.col("n") * F.col("rows")) / F.sum("rows"),
+        "min_n": F.min("n").cast("bigint"),
+        "max_n": F.max("n").cast("bigint"),
+    }
     sizes = cumulate(tally(per_site, [], "n"), [], "n")
-    spread = sizes.agg(
-        (F.sum(F.col("n") * F.col("rows")) / F.sum("rows")).alias("mean_n"),
-        F.min("n").cast("bigint").alias("min_n"),
-        F.max("n").cast("bigint").alias("max_n"),
-    )
-    median = quantiles_of(sizes, [], "n", {"median_n": 0.5})
-    return spread.withColumn("median_n", median.scalar())
+    return quantiles_of(sizes, [], "n", {"median_n": 0.5}, others)
 
 
 def sites_above_threshold(
