@@ -791,7 +791,7 @@ def tile_sql(keys: str) -> str:
 
 @register("tile_means", f"{tile_sql('season')} union all {tile_sql('site_id')}", "mean_tile,sd_tile")
 def _(spark, sf):
-    rows = daily(spark, sf)
+    rows = stored(daily(spark, sf), "daily")
     columns = ("level", "site_id", "season", "mean_tile", "sd_tile")
 
     def level(key, other):

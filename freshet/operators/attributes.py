@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.functions.conditions import flag
+from freshet.functions.labels import pad_station
 from freshet.operators.sizing import Sized, attach, summarised
 
 # Area and coverage columns repeated in every attribute table.
@@ -35,6 +36,22 @@ def bundle_join(
     return joined if area is None else joined.join(area, key)
 
 
+def gage_table(raw: DataFrame) -> DataFrame:
+    """Gage ids padded to text, catchment key and area; the site name is left out."""
+    return raw.select(
+        pad_station(F.col("Station_number")).alias("station_number"),
+        F.col("COMID").cast("bigint").alias("comid"),
+        F.col("Area_Km2").alias("area_km2"),
+    )
+
+
+def tile_density_table(raw: DataFrame) -> DataFrame:
+    return raw.select(
+        pad_station(F.col("station_ALL_clean")).alias("station_number"),
+        F.col("Tile_density").alias("tile_density"),
+    )
+
+
 def station_dimension(gages: DataFrame, attributes: DataFrame, density: DataFrame) -> Sized:
     """Gage, watershed and drainage attributes as one per-station table, so that
     samples are joined once instead of three times."""

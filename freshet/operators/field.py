@@ -27,6 +27,10 @@ SHORT_TYPES = {
 MICROGRAMS = 1000
 
 
+def watershed_areas(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("Site_ID").alias("site_id"), F.col("WS_area").alias("ws_area"))
+
+
 def field_samples(
     chemistry: DataFrame, areas: DataFrame, sites: DataFrame, date_format: str = "M/d/yyyy"
 ) -> DataFrame:

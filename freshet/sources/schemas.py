@@ -11,7 +11,7 @@ TILE_READINGS = (
     "site_id string, datetime timestamp_ntz, flow_cfs double, tss_mgl double, tp_mgl double, "
     "dop_mgl double, no2_no3_mgl double, nh3_mgl double, tkn_mgl double, chloride_mgl double"
 )
-GAGES = "station_number string, comid bigint, area_km2 double"
+GAGES = "Station_number bigint, Site_name string, COMID bigint, Area_Km2 double"
 FIELD_CHEMISTRY = "site_id string, date string, srp double"
 WATERSHED_AREAS = (
     "OID_ int, OBJECTID int, Site_ID string, Shape_Leng double, Shape_Area double, WS_area double"

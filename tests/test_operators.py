@@ -16,7 +16,7 @@ from freshet.operators import (
 from freshet.operators.order_stats import quantiles
 from freshet.operators.sizing import SALTS, Sized, attach, counted, summarised
 from freshet.plans import stations
-from freshet.sources import readers, sinks
+from freshet.sources import readers, schemas, sinks
 
 SAMPLES = "station_number string, station_name string, date date, srp double, flow_cfs double, data_type string"
 SLOW = settings(
@@ -341,3 +341,21 @@ def test_csv_keeps_missing_quotes_and_byte_order_mark(spark, tmp_path):
     marked.write_bytes(b"\xef\xbb\xbfid,v\n01,NA\n")
     [row] = readers.read_bundle(spark, [str(marked)], ["id string, v double"])[0].collect()
     assert tuple(row) == ("01", None)
+
+
+def test_station_and_site_files(spark, tmp_path):
+    files = {
+        "gages": "Station_number,Site_name,COMID,Area_Km2\n1022001,\"A, B\",77,19.5\n",
+        "density": "OID_,ORIG_FID,HydroID,usgs_id,station_ALL_clean,name_ALL_clean,Area_Km2,QC_Flag,"
+        "QC_complete,Area_Km2_retab,Shape_Length,Shape_Area,Tile_density\n"
+        "1,1,,05,1022001,\"A, B\",19.5,,,19.5,1,2,250.5\n",
+        "areas": "OID_,OBJECTID,Site_ID,Shape_Leng,Shape_Area,WS_area\n1,1,12a,2,3,0.5\n",
+    }
+    read = {}
+    for name, schema in (("gages", schemas.GAGES), ("density", schemas.TILE_DENSITY), ("areas", schemas.WATERSHED_AREAS)):
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(b"\xef\xbb\xbf" + files[name].encode())
+        read[name] = readers.read_delimited(spark, str(path), schema)
+    assert [tuple(r) for r in attributes.gage_table(read["gages"]).collect()] == [("01022001", 77, 19.5)]
+    assert [tuple(r) for r in attributes.tile_density_table(read["density"]).collect()] == [("01022001", 250.5)]
+    assert [tuple(r) for r in field.watershed_areas(read["areas"]).collect()] == [("12a", 0.5)]
