@@ -21,7 +21,7 @@ def settle(value: Column, digits: int) -> Column:
     return F.round(F.round(value, digits + 9), digits)
 
 
-def magnitude_band(value: Column, per_octave: int = 4096) -> Column:
+def magnitude_band(value: Column, per_octave: int) -> Column:
     """An order-preserving coarse key of a double: its position on a log scale.
 
     Depends on the value alone, so every task and every retry agrees, and the

@@ -9,16 +9,18 @@ the bands of a group. No task ever holds more than one band of one group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.conditions import present
 from freshet.functions.numbers import magnitude_band
-from freshet.operators.sizing import SALTS
+from freshet.operators.sizing import SALTS, summarised
 from freshet.sources.workspace import stored
 
+ROWS_PER_BAND = 1_000_000
 _LAST_BAND = 2**62
 
 
@@ -34,16 +36,24 @@ def tally(
     )
 
 
+def bands_for(rows: int) -> int:
+    """How finely to cut: a power of two, enough for one group holding every row
+    to have about ``ROWS_PER_BAND`` in each band."""
+    return max(16, 2 ** math.ceil(math.log2(max(1, rows / ROWS_PER_BAND))))
+
+
 def place(
-    tallied: DataFrame, keys: Sequence[str], order: Sequence[str], band: Column
+    tallied: DataFrame, keys: Sequence[str], order: Sequence[str], band: Callable[[int], Column]
 ) -> DataFrame:
     """Add ``below`` (rows ordered before this one) and ``total`` (rows of the group).
 
-    ``band`` must not decrease along ``order``; rows carry their weight in ``rows``.
-    The input is stored first, because it is read for both levels.
+    Rows carry their weight in ``rows``. ``band(n)``, for ``n`` from ``bands_for``,
+    must not decrease along ``order``. The input is stored first, because it is
+    read for both levels and its size decides how finely it is cut.
     """
     keys = list(keys)
-    banded = stored(tallied, "to-place").withColumn("_band", band)
+    held = summarised(tallied, "to-place")
+    banded = held.frame.withColumn("_band", band(bands_for(held.rows)))
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(*earlier)
     across = Window.partitionBy(*keys)
@@ -68,7 +78,10 @@ def place(
 def cumulate(tallied: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``place`` along a numeric column. A missing value sorts last, so it
     counts in ``total`` but never in ``below``."""
-    band = F.coalesce(magnitude_band(F.col(value)), F.lit(_LAST_BAND))
+
+    def band(per_octave: int) -> Column:
+        return F.coalesce(magnitude_band(F.col(value), per_octave), F.lit(_LAST_BAND))
+
     return place(tallied, keys, [value], band)
 
 

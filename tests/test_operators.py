@@ -10,10 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from freshet.operators import (
-    attributes, cleaning, field, flow, matching, regression, seasonal, splitting, summaries,
+    attributes, cleaning, field, flow, matching, order_stats, regression, seasonal, splitting, summaries,
     transport, weighted,
 )
-from freshet.operators.order_stats import quantiles
+from freshet.operators.order_stats import bands_for, quantiles
 from freshet.operators.sizing import SALTS, Sized, attach, counted, summarised
 from freshet.plans import stations
 from freshet.sources import readers, schemas, sinks
@@ -61,6 +61,19 @@ def test_rank_fraction_and_flag_against_brute_force(spark, flows):
     )
 
 
+def test_bands_follow_the_row_count():
+    assert [bands_for(n) for n in (0, 10**6, 3 * 10**7, 10**12)] == [16, 16, 32, 2**20]
+
+
+def test_fine_bands_give_the_same_ranks(spark, monkeypatch):
+    rng = random.Random(5)
+    df = samples_of(spark, [(1, 0.1, rng.choice([0.0, rng.lognormvariate(0, 3)]), "m") for _ in range(300)])
+    coarse = sorted((r.flow_cfs, r.percent_rank) for r in flow.flow_percent_rank(df).collect())
+    monkeypatch.setattr(order_stats, "ROWS_PER_BAND", 0.01)
+    fine = sorted((r.flow_cfs, r.percent_rank) for r in flow.flow_percent_rank(df).collect())
+    assert coarse == fine
+
+
 def test_quantiles_against_brute_force(spark):
     rng = random.Random(7)
     groups = {k: [rng.choice([rng.gauss(0, 10), 1.0]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 101))}
