@@ -18,6 +18,11 @@ REDUNDANT = (
     "WsAreaSqKm", "CatAreaSqKm", "CatPctFull", "WsPctFull",
     "CatPctFullRp100", "WsPctFullRp100", "WsAreaSqKmRp100", "CatAreaSqKmRp100",
 )
+# Labels of the published tables.
+IMPACT_LABELS = ("Impacted", "Less Impacted")
+SOURCE_PRESENCE = ("No WWTP", "WWTP present")
+SOURCE_LEVELS = ("Limited", "Higher")
+NO_SOURCE = "None"
 
 
 def bundle_join(
@@ -64,19 +69,19 @@ def enrich_attributes(samples: DataFrame, stations: Sized) -> DataFrame:
 
 
 def impact(crop: Column, urban: Column, crop_min: float = 0.5, urban_min: float = 0.1) -> Column:
-    return flag((crop >= crop_min) | (urban >= urban_min), "Impacted", "Less Impacted")
+    return flag((crop >= crop_min) | (urban >= urban_min), *IMPACT_LABELS)
 
 
 def source_presence(density: Column) -> Column:
-    return flag(density == 0, "No WWTP", "WWTP present")
+    return flag(density == 0, *SOURCE_PRESENCE)
 
 
 def source_level(density: Column, limited: float = 0.005) -> Column:
-    return flag(density < limited, "Limited", "Higher")
+    return flag(density < limited, *SOURCE_LEVELS)
 
 
 def source_category(density: Column, limited: float = 0.005) -> Column:
-    return F.when(density == 0, F.lit("None")).otherwise(source_level(density, limited))
+    return F.when(density == 0, F.lit(NO_SOURCE)).otherwise(source_level(density, limited))
 
 
 def impact_flags(
