@@ -231,8 +231,9 @@ def chained(body: str) -> str:
 
 
 def finished(body: str, doubles: str, ints: str, digits: int) -> str:
-    """Round doubles and widen integers, the same way on both sides."""
-    changes = [f'round("{c}", {digits}) as "{c}"' for c in doubles.split(",") if c]
+    """Round doubles (adding zero clears a negative zero) and widen integers, the
+    same way on both sides."""
+    changes = [f'round("{c}", {digits}) + 0e0 as "{c}"' for c in doubles.split(",") if c]
     changes += [f'cast("{c}" as bigint) as "{c}"' for c in ints.split(",") if c]
     inner = chained(body)
     if not changes:

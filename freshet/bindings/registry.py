@@ -62,7 +62,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        changes = {c: F.round(F.col(c), self.digits) for c in self.doubles.split(",") if c}
+        changes = {c: F.round(F.col(c), self.digits) + F.lit(0.0) for c in self.doubles.split(",") if c}
         changes |= {c: F.col(c).cast("bigint") for c in self.ints.split(",") if c}
         return df.withColumns(changes) if changes else df
 

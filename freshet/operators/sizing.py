@@ -64,6 +64,8 @@ def attach(
     content (so a retried task repeats it) and the table is repeated per salt.
     A key holding a third of all rows is then spread over ``SALTS`` tasks.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how} would repeat unmatched rows once per salt")
     on = list(on)
     if table.bytes_in_memory <= limit:
         return fact.join(F.broadcast(table.frame), on, how)

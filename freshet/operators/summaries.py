@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.conditions import present
@@ -69,17 +69,16 @@ def boxplot_stats(
 
 def histogram_fixed_width(df: DataFrame, value: str, width: float) -> DataFrame:
     """Counts in bins centred on multiples of ``width``, beside the overall mean.
-    The mean is put together from the bins, whose number depends on the range of
-    the values and not on the rows, so the rows are read once."""
-    overall = Window.partitionBy()
-    return (
+    The stored bins give the mean as a scalar subquery, so the rows are read once."""
+    bins = (
         df.where(present(F.col(value)).isNotNull())
         .groupBy(F.ceil(F.col(value) / F.lit(float(width)) - 0.5).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("_sum"))
-        .withColumn("centre", F.col("bin") * F.lit(float(width)))
-        .withColumn("mean", F.sum("_sum").over(overall) / F.sum("n").over(overall))
-        .drop("_sum")
     )
+    bins = stored(bins, "bins")
+    mean = bins.agg(F.sum("_sum") / F.sum("n")).scalar()
+    centre = F.col("bin") * F.lit(float(width))
+    return bins.select("bin", "n", centre.alias("centre"), mean.alias("mean"))
 
 
 def facet_lines(

@@ -18,6 +18,11 @@ TABLES = (
 ).split()
 
 
+DUCK_TYPES = {
+    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
 def local_session(cores: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -44,22 +49,27 @@ def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     def cell(v):
         if isinstance(v, float):
-            return "nan" if math.isnan(v) else repr(v + 0.0)
+            return "nan" if math.isnan(v) else repr(v)
         return repr(v)
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
 def spark_rows(spark, query, sf_dir):
     df = query(spark, sf_dir)
-    return df.columns, [tuple(r) for r in df.collect()]
+    return df.dtypes, [tuple(r) for r in df.collect()]
 
 
-def difference(got_columns, got, con, sql) -> str | None:
+def difference(dtypes, got, con, sql) -> str | None:
+    got_columns = [name for name, _ in dtypes]
     result = con.execute(sql)
     want_columns = [d[0] for d in result.description]
     want = result.fetchall()
     if sorted(got_columns) != sorted(want_columns):
         return f"columns {got_columns} != {want_columns}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    wrong = {n: (t, types[n]) for n, t in dtypes if DUCK_TYPES.get(t) != types[n]}
+    if wrong:
+        return f"types {wrong}"
     a, b = canonical(got_columns, got), canonical(want_columns, want)
     if a == b:
         return None
@@ -76,10 +86,10 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name in names or runs:
         start, took = time.time(), 0.0
         try:
-            columns, rows = spark_rows(spark, runs[name], sf_dir)
+            dtypes, rows = spark_rows(spark, runs[name], sf_dir)
             took = time.time() - start
             if name in expected:
-                note = difference(columns, rows, con, expected[name])
+                note = difference(dtypes, rows, con, expected[name])
             else:
                 note = None if rows else "no rows"
         except Exception as error:  # report and go on with the next query

@@ -11,8 +11,8 @@ RUNS, EXPECTED = entry.queries(), entry.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(EXPECTED))
 def test_matches_duckdb(spark, con, name):
-    columns, rows = spark_rows(spark, RUNS[name], SF)
-    assert difference(columns, rows, con, EXPECTED[name]) is None
+    dtypes, rows = spark_rows(spark, RUNS[name], SF)
+    assert difference(dtypes, rows, con, EXPECTED[name]) is None
 
 
 def test_only_model_queries_go_without_sql():
