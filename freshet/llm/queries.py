@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freshet.llm import decontamination, license_scan, mixing, url_filter
+from freshet.llm import decontamination, license_scan, mixing, token_output, topk_search, url_filter
 from freshet.llm.common import read, ship
 from freshet.llm.expected import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Vocabulary file of the token output; every worker has the package that holds it.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_output.write_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
+    return token_output.read_summary(files)
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
@@ -33,6 +48,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op3_decontamination, op4_license_scan, op8_mix_sources, op10_url_filter)
+    for query in (op1_token_output, op2_topk_search, op3_decontamination, op4_license_scan, op8_mix_sources, op10_url_filter)
 }
 __all__ = ["QUERIES", "SQL"]
