@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import decontamination, license_scan, mixing, token_output, topk_search, url_filter
+from freshet.llm import decontamination, html_text, katz, license_scan, mixing, token_output, topk_search, url_filter
 from freshet.llm.common import read, ship
 from freshet.llm.expected import SQL
 
@@ -37,6 +37,18 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
+def fold(doc_id: Column, folds: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
@@ -48,6 +60,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_token_output, op2_topk_search, op3_decontamination, op4_license_scan, op8_mix_sources, op10_url_filter)
+    for query in (op1_token_output, op2_topk_search, op3_decontamination, op4_license_scan, op5_html_text, op6_katz_scores, op8_mix_sources, op10_url_filter)
 }
 __all__ = ["QUERIES", "SQL"]
