@@ -126,10 +126,10 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
-), both AS (
+), edges AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach(doc_id, met) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.met
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.met
 )
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import decontamination, html_text, katz, license_scan, mixing, token_output, topk_search, url_filter
+from freshet.llm import decontamination, html_text, katz, license_scan, mixing, near_dedup, quality, token_output, topk_search, url_filter
 from freshet.llm.common import read, ship
 from freshet.llm.expected import SQL
 
@@ -49,10 +49,19 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.classify(documents, labels, fold(F.col("doc_id"), 4) == 2)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = url_filter.outcomes_of(read(spark, sf_dir, "labels"))
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), outcomes)
@@ -60,6 +69,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_token_output, op2_topk_search, op3_decontamination, op4_license_scan, op5_html_text, op6_katz_scores, op8_mix_sources, op10_url_filter)
+    for query in (op1_token_output, op2_topk_search, op3_decontamination, op4_license_scan, op5_html_text, op6_katz_scores, op7_quality, op8_mix_sources, op9_near_dedup, op10_url_filter)
 }
 __all__ = ["QUERIES", "SQL"]
