@@ -47,7 +47,7 @@ FRAME_IDS = 1 << 18
 #: Documents of one file, about; a file is what one task writes.
 FILE_DOCUMENTS = 8_000
 #: Pieces of text whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 # Fixed values of the Zstandard format and of its seekable layout.
 SKIPPABLE_INDEX = 0x184D2A5D
@@ -78,21 +78,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        # a byte-level token has one character per byte of text
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.bytes_of[number] = len(token)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
-        kind = f"<u{self.width}"
         pieces = [CUTS.split(text) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({piece for parts in pieces for piece in parts if piece not in known})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, kind).tobytes()
+        new = {piece for parts in pieces for piece in parts if piece not in known}
+        self._learn_together([piece for piece in new if CUTS.match(piece)])
+        self._learn([piece for piece in new if not CUTS.match(piece)])
         return [b"".join(map(known.__getitem__, parts)) for parts in pieces]
 
+    def _learn(self, pieces: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        for piece, encoding in zip(pieces, found, strict=True):
+            self.known[piece] = np.array(encoding.ids, f"<u{self.width}").tobytes()
+
+    def _learn_together(self, pieces: list[str]) -> None:
+        """Pieces that each begin where a text may be cut are encoded as one text and told apart by length."""
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            (encoding,) = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            ids = np.array(encoding.ids, f"<u{self.width}")
+            ends = np.cumsum([len(piece.encode()) for piece in part])
+            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
+            packed, before = ids.tobytes(), 0
+            for piece, cut in zip(part, cuts.tolist(), strict=True):
+                self.known[piece] = packed[before:cut]
+                before = cut
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
