@@ -22,8 +22,9 @@ def short_label(name: Column, width: int = SHORT_LABEL_WIDTH) -> Column:
 
 
 def pad_station(number: Column) -> Column:
-    """Zero-pad to eight digits; longer ids stay whole (``lpad`` would cut them)."""
-    return F.format_string("%08d", number.try_cast("bigint"))
+    """Zero-pad to eight digits; longer ids stay whole (``lpad`` would cut them), missing ones missing."""
+    whole = number.try_cast("bigint")
+    return F.when(whole.isNotNull(), F.format_string("%08d", whole))
 
 
 def drop_text(value: Column, text: str) -> Column:

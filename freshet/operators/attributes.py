@@ -114,8 +114,8 @@ def high_source_sites(df: DataFrame, above: float = 0.005) -> DataFrame:
 
 def null_fraction_by_column(df: DataFrame, above: float | None = None) -> DataFrame:
     """Share of missing values per column, from one row of aggregates."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns])
-    long = shares.unpivot([], df.columns, "column_name", "null_share")
+    shares = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(c) for c in df.columns])
+    long = shares.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "null_share")
     return long if above is None else long.where(F.col("null_share") > above)
 
 
@@ -123,5 +123,5 @@ def drop_all_zero_columns(df: DataFrame) -> DataFrame:
     """Keep columns holding something other than zero, and all non-numeric ones.
     One aggregate row comes back to decide."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    found = df.agg(*[F.max((F.col(c) != 0).cast("int")).alias(c) for c in numeric]).first()
+    found = df.agg(*[F.max((F.col(f"`{c}`") != 0).cast("int")).alias(c) for c in numeric]).first()
     return df.drop(*[c for c in numeric if found[c] != 1])

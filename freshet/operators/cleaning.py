@@ -75,4 +75,4 @@ def round_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
     floating = [
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     ]
-    return df.withColumns({c: settle(F.col(c), digits) for c in floating})
+    return df.withColumns({c: settle(F.col(f"`{c}`"), digits) for c in floating})

@@ -372,3 +372,15 @@ def test_station_and_site_files(spark, tmp_path):
     assert [tuple(r) for r in attributes.gage_table(read["gages"]).collect()] == [("01022001", 77, 19.5)]
     assert [tuple(r) for r in attributes.tile_density_table(read["density"]).collect()] == [("01022001", 250.5)]
     assert [tuple(r) for r in field.watershed_areas(read["areas"]).collect()] == [("12a", 0.5)]
+
+
+def test_dotted_names_and_missing_ids(spark):
+    from freshet.functions.labels import pad_station
+    from freshet.operators.attributes import drop_all_zero_columns, null_fraction_by_column
+    from freshet.operators.cleaning import round_numeric
+
+    df = spark.createDataFrame([(1.234, 0, None), (None, 0, "7")], "`mean.SRP` double, `NO2.NO3` int, id string")
+    assert {r.column_name: r.null_share for r in null_fraction_by_column(df).collect()} == {"mean.SRP": 0.5, "NO2.NO3": 0.0, "id": 0.5}
+    assert drop_all_zero_columns(df).columns == ["mean.SRP", "id"]
+    assert [r["mean.SRP"] for r in round_numeric(df, 1).collect()] == [1.2, None]
+    assert [r[0] for r in df.select(pad_station(df["id"])).collect()] == [None, "00000007"]
