@@ -93,7 +93,11 @@ def find_matches(postings: DataFrame, terms: DataFrame, length: int = WINDOW, sl
         return met.select("doc", "version", "item", (F.col("position") - F.col("at")).alias("diagonal"), "at")
 
     key = ["doc", "version", "item", "diagonal"]
-    found = stored(probe(lists(0)).select(*key).distinct(), "diagonals")
+    # with words that may be missing, one of the slack + 1 rarest is present
+    seeds = probe(lists(0)).select(*key)
+    for nth in range(1, slack + 1):
+        seeds = seeds.unionByName(probe(lists(nth)).select(*key))
+    found = stored(seeds.distinct(), "diagonals")
     if slack == 0:
         # an item of one word has no second rarest and stays
         single = counted(stored(items.where("n_words = 1").select("item"), "single"))
