@@ -6,8 +6,8 @@ to 2^18 places; a word that repeats the one before it counts as such in the pair
 A feature's value is its share of the text's words, so a score is the logistic of a
 sparse dot product of shares and weights, whatever the text's length.
 
-Learning: a bounded sample of the labelled rows (``sample``, 20,000) is dealt to a fixed
-number of shards by a hash of the id; each shard runs follow-the-regularised-leader
+Learning: a bounded sample of the labelled rows (``sample``, 20,000) is dealt by a hash to
+shards of about 2,500 rows; each shard runs follow-the-regularised-leader
 updates over its rows, and the shards' weights are averaged. The sample's ids and labels
 are small by that bound and go to the text by broadcast; the weights are at most
 2^18 numbers and go the same way to the tasks that score.
@@ -35,8 +35,9 @@ from freshet.llm.common import only, records, ship
 
 BITS = 18
 SAMPLE = 20_000
-SHARDS = 8
-PASSES = 4
+#: Rows a shard learns from, about.
+SHARD_ROWS = 2_500
+PASSES = 8
 ACCEPT = 0.7
 
 SCORES = "doc_id long, score double"
@@ -135,15 +136,16 @@ def train(labelled: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> np
     """Weights from ``labelled`` (doc_id, label 0 or 1) rows and the texts of ``documents``."""
     ship(documents.sparkSession)
     rows = only(labelled, "doc_id", "label").where("doc_id IS NOT NULL AND label IS NOT NULL")
-    share = min(1.0, sample / max(1, rows.count()))
+    labels = rows.count()
+    share = min(1.0, sample / max(1, labels))
+    shards = max(1, round(min(labels, sample) / SHARD_ROWS))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     # a share of a hash: about ``sample`` rows, the same ones in every run
     chosen = rows.withColumn("place", place).where(F.col("place") < F.lit(int(share * (1 << 30))))
     texts = only(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("place", "text"), F.lit(SHARDS)))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("place", "text"), F.lit(shards)))
     learnt = dealt.groupBy("shard").applyInPandas(_learn_shard, "feature long, weight double")
-    shards = F.lit(float(SHARDS))
-    found = learnt.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).collect()  # at most 2^18 + 1
+    found = learnt.groupBy("feature").agg((F.sum("weight") / F.lit(float(shards))).alias("weight")).collect()  # at most 2^18 + 1
     weights = np.zeros((1 << BITS) + 1)
     for feature, weight in found:
         weights[feature] = weight
