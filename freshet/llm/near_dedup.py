@@ -8,12 +8,12 @@ have, by pigeonhole, a chunk with at most one wrong symbol, so they share one of
 keys made of a chunk with one symbol left out. At similarity 0.8 a pair is more than 23
 symbols apart with a probability below one in a thousand, and far less above that.
 
-Classes that share a key are not paired with each other. Each is paired with the
-smallest of the key (a count per key, combined before it is shuffled), its best such
-pair is confirmed on the full sets, and confirmed links are joined to components. Then
-only pairs across components are left to try, and these are all tried: every other
-star, and every two classes of a key that lie in different components. So a group of
-near copies costs rows in proportion to its size, and no link is lost.
+Classes that share a key are not paired with each other. Each is paired with one other:
+of the smallest classes of its keys the one it shares most keys with. These pairs are
+confirmed on the full sets and joined to components, first with the keys of two chunks,
+then with all keys that still hold two components. At last every two classes of a key
+that lie in different components are tried, so no link is lost, while a group of near
+copies costs rows in proportion to its size.
 
 Components are smallest ids spread along links with shortcuts until nothing changes,
 every state being a stored table.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import only, records, ship
 from freshet.llm.katz import mixed
-from freshet.operators.sizing import attach, counted
+from freshet.operators.sizing import Sized, attach, counted
 from freshet.sources.workspace import stored
 
 SYMBOLS, CHUNK = 60, 5
@@ -105,6 +105,9 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return out.reshape(len(signature), -1)
 
 
+KEYS = "key long, class long, component long"
+#: Chunks whose keys make the first pairs.
+FIRST_CHUNKS = 2
 SKETCHES = "doc_id long, n_shingles long, digest binary, signature binary"
 
 
@@ -135,15 +138,19 @@ class _Sketch:
             yield batch()
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            own = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
-            keys = keys_of(own)
-            columns = [pa.array(keys.view(np.int64).ravel())]
-            columns += [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1])) for c in ("class", "component")]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "class", "component"])
+@dataclass(frozen=True)
+class _Keys:
+    chunks: int = SYMBOLS // CHUNK
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
+                keys = np.ascontiguousarray(keys_of(own)[:, : self.chunks * CHUNK])
+                columns = [pa.array(keys.view(np.int64).ravel())]
+                columns += [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1])) for c in ("class", "component")]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "class", "component"])
 
 
 def _wrong(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +236,27 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words
     return stored(met.mapInArrow(_Confirm(percent), "a long, b long, linked boolean"), "confirmed")
 
 
+def _placed(classes: DataFrame, state: Sized | None) -> DataFrame:
+    """Classes with their component so far."""
+    own = classes.select("class", "signature")
+    if state is None:
+        return own.select("class", F.col("class").alias("component"), "signature")
+    return attach(own, state, ["class"], "left").select("class", F.coalesce("component", "class").alias("component"), "signature")
+
+
+def _stars(placed: DataFrame, chunks: int) -> DataFrame:
+    """One pair (a, b) per class b: a is the smallest class of one of b's keys and in another component."""
+    spread = placed.mapInArrow(_Keys(chunks), KEYS)
+    heads = spread.groupBy("key").agg(
+        F.min(F.struct("class", "component")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    heads = heads.where("low < high").select("key", F.col("head.class").alias("head"), F.col("head.component").alias("place"))
+    met = attach(spread, counted(stored(heads, "heads")), ["key"]).where("component <> place")
+    shared = met.groupBy(F.col("class").alias("b"), F.col("head").alias("a")).count()
+    best = shared.groupBy("b").agg(F.min(F.struct(-F.col("count"), "a")).alias("best"))
+    return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable) and kept.
 
@@ -240,31 +268,24 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     classes = stored(
         there.groupBy("digest").agg(F.min("doc_id").alias("class"), F.min("signature").alias("signature")), "classes"
     )
-    # two texts under one id can both be the first of their class: they are one node
-    alone = classes.withColumn("component", F.col("class"))
-    keys = "key long, class long, component long"
-
-    spread = alone.select("class", "component", "signature").mapInArrow(_keys, keys)
-    heads = spread.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head < last").select("key", "head")
-    heads = counted(stored(heads, "heads"))
-    stars = attach(spread, heads, ["key"]).where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    stars = stored(_near_pairs(stars, classes), "stars")
-    best = stored(stars.groupBy("b").agg(F.min(F.struct("wrong", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "best")
-    first = _confirmed(best, documents, classes, words, percent)
-    links = first.where("linked").select("a", "b")
-    state = counted(components(links))
+    tried, links, state = None, None, None
+    for chunks in (FIRST_CHUNKS, SYMBOLS // CHUNK):
+        pairs = stored(_near_pairs(_stars(_placed(classes, state), chunks), classes).select("a", "b"), "stars")
+        found = _confirmed(pairs, documents, classes, words, percent)
+        tried = found if tried is None else tried.unionByName(found)
+        links = tried.where("linked").select("a", "b")
+        state = counted(components(links))
 
     # what is left: pairs across components that share a key
-    placed = attach(classes, state, ["class"], "left").withColumn("component", F.coalesce("component", "class"))
-    spread = placed.select("class", "component", "signature").mapInArrow(_keys, keys)
+    spread = _placed(classes, state).mapInArrow(_Keys(), KEYS)
     open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     across = stored(attach(spread, counted(stored(open_keys, "open-keys")), ["key"], "left_semi"), "across")
     other = across.select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
     met = across.join(other, "key").where("class < other AND component <> other_component")
-    rest = met.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = met.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(_near_pairs(rest, classes).select("a", "b"), "rest")
-    second = _confirmed(rest, documents, classes, words, percent).where("linked").select("a", "b")
-    final = counted(components(links.unionByName(second)))
+    last = _confirmed(rest, documents, classes, words, percent).where("linked").select("a", "b")
+    final = counted(components(links.unionByName(last)))
 
     named = attach(classes.select("digest", "class"), final, ["class"], "left").select("digest", F.coalesce("component", "class").alias("component_id"))
     named = counted(stored(named, "named"))
