@@ -9,11 +9,13 @@ keys made of a chunk with one symbol left out. At similarity 0.8 a pair is more
 symbols apart with a probability below one in a thousand, and far less above that.
 
 Classes that share a key are not paired with each other. Each is paired with one other:
-of the smallest classes of its keys the one it shares most keys with. These pairs are
+of the heads of its keys the one it shares most keys with. The head of a key is its class
+whose keys hold most classes: the text a group's copies were made of has the symbols most
+of them have, and is nearer to each copy than copies are to each other. These pairs are
 confirmed on the full sets and joined to components, first with the keys of two chunks,
 then with all keys that still hold two components. At last every two classes of a key
-that lie in different components are tried, so no link is lost, while a group of near
-copies costs rows in proportion to its size.
+that lie in different components, and whose sizes allow a link, are tried, so no link is
+lost, while a group of near copies costs rows in proportion to its size.
 
 Components are smallest ids spread along links with shortcuts until nothing changes,
 every state being a stored table.
@@ -105,7 +107,8 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return out.reshape(len(signature), -1)
 
 
-KEYS = "key long, class long, component long"
+CARRIED = ("class", "component", "size", "shared")
+KEYS = "key long, class long, component long, size long, shared long"
 #: Chunks whose keys make the first pairs.
 FIRST_CHUNKS = 2
 SKETCHES = "doc_id long, n_shingles long, digest binary, signature binary"
@@ -149,8 +152,8 @@ class _Keys:
                 own = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
                 keys = np.ascontiguousarray(keys_of(own)[:, : self.chunks * CHUNK])
                 columns = [pa.array(keys.view(np.int64).ravel())]
-                columns += [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1])) for c in ("class", "component")]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "class", "component"])
+                columns += [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1])) for c in CARRIED]
+                yield pa.RecordBatch.from_arrays(columns, ["key", *CARRIED])
 
 
 def _wrong(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,18 +241,27 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words
 
 def _placed(classes: DataFrame, state: Sized | None) -> DataFrame:
     """Classes with their component so far."""
-    own = classes.select("class", "signature")
     if state is None:
-        return own.select("class", F.col("class").alias("component"), "signature")
-    return attach(own, state, ["class"], "left").select("class", F.coalesce("component", "class").alias("component"), "signature")
+        return classes.select(F.col("class").alias("component"), "class", "size", "shared", "signature")
+    own = classes.select("class", "size", "shared", "signature")
+    return attach(own, state, ["class"], "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _popular(classes: DataFrame) -> DataFrame:
+    """Classes with ``shared``: how many classes the keys of the first chunks bring each together with."""
+    bare = classes.select("class", F.col("class").alias("component"), "size", F.lit(0).cast("long").alias("shared"), "signature")
+    spread = bare.mapInArrow(_Keys(FIRST_CHUNKS), KEYS).select("key", "class")
+    held = counted(stored(spread.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "held"))
+    shared = attach(spread, held, ["key"]).groupBy("class").agg(F.sum("held").alias("shared"))
+    met = attach(classes, counted(stored(shared, "shared")), ["class"], "left")
+    return stored(met.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))), "popular")
 
 
 def _stars(placed: DataFrame, chunks: int) -> DataFrame:
-    """One pair (a, b) per class b: a is the smallest class of one of b's keys and in another component."""
+    """One pair (a, b) per class: one of the two is the head of a key of the other and in another component."""
     spread = placed.mapInArrow(_Keys(chunks), KEYS)
-    heads = spread.groupBy("key").agg(
-        F.min(F.struct("class", "component")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
+    first = F.min(F.struct((-F.col("shared")).alias("rank"), "class", "component"))
+    heads = spread.groupBy("key").agg(first.alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
     heads = heads.where("low < high").select("key", F.col("head.class").alias("head"), F.col("head.component").alias("place"))
     met = attach(spread, counted(stored(heads, "heads")), ["key"]).where("component <> place")
     shared = met.groupBy(F.col("class").alias("b"), F.col("head").alias("a")).count()
@@ -265,12 +277,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     ship(documents.sparkSession)
     sketches = stored(only(documents, "doc_id", "text").mapInArrow(_Sketch(words), SKETCHES), "sketches")
     there = sketches.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = stored(
-        there.groupBy("digest").agg(F.min("doc_id").alias("class"), F.min("signature").alias("signature")), "classes"
-    )
+    size = F.min("n_shingles").alias("size")
+    classes = stored(there.groupBy("digest").agg(F.min("doc_id").alias("class"), size, F.min("signature").alias("signature")), "classes")
+    classes = _popular(classes)
     tried, links, state = None, None, None
     for chunks in (FIRST_CHUNKS, SYMBOLS // CHUNK):
-        pairs = stored(_near_pairs(_stars(_placed(classes, state), chunks), classes).select("a", "b"), "stars")
+        new = _stars(_placed(classes, state), chunks)
+        if tried is not None:
+            new = new.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = stored(_near_pairs(new, classes).select("a", "b"), "stars")
         found = _confirmed(pairs, documents, classes, words, percent)
         tried = found if tried is None else tried.unionByName(found)
         links = tried.where("linked").select("a", "b")
@@ -280,8 +295,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spread = _placed(classes, state).mapInArrow(_Keys(), KEYS)
     open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     across = stored(attach(spread, counted(stored(open_keys, "open-keys")), ["key"], "left_semi"), "across")
-    other = across.select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
-    met = across.join(other, "key").where("class < other AND component <> other_component")
+    other = across.select("key", F.col("class").alias("other"), F.col("component").alias("other_component"), F.col("size").alias("other_size"))
+    may_link = (100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")) & F.expr("class < other AND component <> other_component")
+    met = across.join(other, "key").where(may_link)
     rest = met.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(_near_pairs(rest, classes).select("a", "b"), "rest")
     last = _confirmed(rest, documents, classes, words, percent).where("linked").select("a", "b")
