@@ -295,10 +295,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spread = _placed(classes, state).mapInArrow(_Keys(), KEYS)
     open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     across = stored(attach(spread, counted(stored(open_keys, "open-keys")), ["key"], "left_semi"), "across")
-    other = across.select("key", F.col("class").alias("other"), F.col("component").alias("other_component"), F.col("size").alias("other_size"))
-    may_link = (100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")) & F.expr("class < other AND component <> other_component")
-    met = across.join(other, "key").where(may_link)
-    rest = met.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    # a class has few keys; of those two classes share, the smallest alone brings them together
+    own_keys = counted(stored(across.groupBy("class").agg(F.collect_list("key").alias("keys")), "own-keys"))
+    across = stored(attach(across.drop("shared"), own_keys, ["class"]), "across-keys")
+    other = across.select("key", *(F.col(c).alias(f"other_{c}") for c in ("class", "component", "size", "keys")))
+    may_link = F.expr("class < other_class AND component <> other_component")
+    may_link &= 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+    may_link &= F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
+    met = across.join(other, "key").where(may_link).select(F.col("class").alias("a"), F.col("other_class").alias("b"))
+    rest = met.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(_near_pairs(rest, classes).select("a", "b"), "rest")
     last = _confirmed(rest, documents, classes, words, percent).where("linked").select("a", "b")
     final = counted(components(links.unionByName(last)))
