@@ -137,6 +137,29 @@ class Chunk:
     def grams(self, order: int) -> np.ndarray:
         return self.word_keys if order == 1 else mixed(self.contexts(order), self.word_keys)
 
+    def gram_places(self, order: int) -> np.ndarray:
+        """Of each token, where its n-gram's key stands among the chunk's sorted distinct ones."""
+        if order == 1:
+            return _places_by_number(self.hashes, self.words)
+        return np.unique(self.grams(order), return_inverse=True)[1]
+
+    def context_places(self, order: int) -> np.ndarray:
+        """The same of the keys of the contexts."""
+        if order > 2:
+            return np.unique(self.contexts(order), return_inverse=True)[1]
+        before = np.roll(self.words, 1)
+        before[self.first] = len(self.hashes)
+        return _places_by_number(np.append(self.hashes, START), before)
+
+
+def _places_by_number(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places of keys that tokens name by number: only the few different keys are sorted."""
+    occurs = np.zeros(len(keys), bool)
+    occurs[numbers] = True
+    places = np.zeros(len(keys), np.uint32)
+    places[occurs] = np.unique(keys[occurs], return_inverse=True)[1]
+    return places[numbers]
+
 
 def chunks_of(documents: DataFrame, held_out: Column) -> DataFrame:
     """Store the documents as chunks."""
@@ -325,25 +348,27 @@ def lowest(counts: np.ndarray, totals: Totals) -> np.ndarray:
     return np.where(counts > 0, totals.discounts[0].of(counts) * counts / totals.tokens, totals.unknown)
 
 
-def _aligned(keys: np.ndarray, values: Sequence[np.ndarray]) -> list[np.ndarray]:
+def _aligned(places: np.ndarray, values: Sequence[np.ndarray]) -> list[np.ndarray]:
     """Values given per sorted distinct key, per token."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    return [v[inverse] for v in values]
+    return [v[places] for v in values]
 
 
 def _probabilities(chunk: Chunk, totals: Totals, order: int, answers: Sequence[Sequence[bytes]]):
     """Per token of a chunk: probability at ``order``, count and whether the chunk is the n-gram's
     first. ``answers``: counts of order 1, then counts and context sums of each order after it."""
-    leads, counts = _aligned(chunk.grams(1), joined(answers[0]))
+    leads, counts = _aligned(chunk.gram_places(1), joined(answers[0]))
     p = lowest(counts, totals)
     for k in range(2, order + 1):
-        leads, counts = _aligned(chunk.grams(k), joined(answers[2 * k - 3]))
+        leads, counts = _aligned(chunk.gram_places(k), joined(answers[2 * k - 3]))
         if 2 * k - 2 >= len(answers):
             return p, leads, counts
-        _, seen, kept, lower = _aligned(chunk.contexts(k), joined(answers[2 * k - 2]))
+        _, seen, kept, lower = joined(answers[2 * k - 2])
         base, bow = backoff(seen, kept, lower)
-        top = totals.discounts[k - 1].of(counts) * counts / np.maximum(base, 1)
-        p = np.where(counts > 0, top, np.where(seen > 0, bow, 1.0) * p)
+        base, bow = _aligned(chunk.context_places(k), (np.maximum(base, 1), np.where(seen > 0, bow, 1.0)))
+        p *= bow
+        del bow
+        base = totals.discounts[k - 1].of(counts) * counts / base
+        p = np.where(counts > 0, base, p)
     return p, leads, counts
 
 
@@ -392,7 +417,7 @@ class _Score:
         for body, *answers in records(batches, *self.columns, step=1):
             chunk = Chunk.read(body)
             p, _, _ = _probabilities(chunk, self.totals, self.order, answers)
-            _, counts = _aligned(chunk.grams(1), joined(answers[0]))
+            _, counts = _aligned(chunk.gram_places(1), joined(answers[0]))
             base = np.log10((counts.astype(float) + 1) / (self.totals.tokens + self.totals.distinct + 1))
             starts = np.cumsum(chunk.lengths, dtype=np.int64) - chunk.lengths
             add = lambda values: np.add.reduceat(values, starts)
