@@ -1144,11 +1144,16 @@ def _(spark, sf):
 # --- sources and sinks -----------------------------------------------------------------------
 
 
+def other_layout(rows: DataFrame) -> DataFrame:
+    """The same columns in another order among further ones, as files from elsewhere have them."""
+    return rows.select(F.lit("x").alias("Remark"), *(F.col(f"`{c}`") for c in reversed(rows.columns)), F.lit(1).alias("Year"))
+
+
 @register("scan_csv_typed", CLEAN_SQL, "srp,flow_cfs")
 def _(spark, sf):
     path = fresh_path(spark, "raw-samples")
-    sinks.write_csv(view(spark, sf, "raw_samples"), path)
-    return cleaning.clean_samples(readers.read_delimited(spark, path, schemas.RAW_SAMPLES))
+    sinks.write_csv(other_layout(view(spark, sf, "raw_samples")), path)
+    return cleaning.clean_samples(readers.read_delimited(spark, path, schemas.RAW_SAMPLES, others=True))
 
 
 @register("scan_tsv", "select site_id, date, srp from field_chem", "srp")
@@ -1156,7 +1161,7 @@ def _(spark, sf):
     path = fresh_path(spark, "field-chemistry")
     chemistry = view(spark, sf, "field_chem")
     text = chemistry.select("site_id", F.date_format("date", "M/d/yyyy").alias("date"), "srp")
-    sinks.write_csv(text, path, sep="\t")
+    sinks.write_csv(other_layout(text), path, sep="\t")
     back = readers.read_tab(spark, path, schemas.FIELD_CHEMISTRY)
     return back.withColumn("date", F.try_to_date("date", cleaning.DATE_FORMAT))
 
@@ -1170,9 +1175,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = fresh_path(spark, "tile-files")
-    rows = view(spark, sf, "tile_obs").select(
-        "site_id", "datetime", "flow_cfs", *weighted.ANALYTES
-    )
+    rows = other_layout(view(spark, sf, "tile_obs").select("site_id", "datetime", "flow_cfs", *weighted.ANALYTES))
     is_flume = F.col("site_id").endswith("-F")
     sinks.write_csv(rows.where(is_flume), f"{folder}/flume_C_Q.csv")
     sinks.write_csv(rows.where(~is_flume), f"{folder}/tile_C_Q.csv")

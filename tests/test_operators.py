@@ -359,9 +359,9 @@ def test_csv_keeps_missing_quotes_and_byte_order_mark(spark, tmp_path):
 def test_station_and_site_files(spark, tmp_path):
     files = {
         "gages": "Station_number,Site_name,COMID,Area_Km2\n1022001,\"A, B\",77,19.5\n",
-        "density": "OID_,ORIG_FID,HydroID,usgs_id,station_ALL_clean,name_ALL_clean,Area_Km2,QC_Flag,"
-        "QC_complete,Area_Km2_retab,Shape_Length,Shape_Area,Tile_density\n"
-        "1,1,,05,1022001,\"A, B\",19.5,,,19.5,1,2,250.5\n",
+        "density": "OID_,HydroID,usgs_id,station_ALL_clean,name_ALL_clean,Area_Km2,QC_Flag,QC_complete,"
+        "Area_Km2_retab,ORIG_FID,Shape_Length,Shape_Area,Tile_density\n"
+        "1,,05,1022001,\"A, B\",19.5,,,19.5,1,1,2,250.5\n",
         "areas": "OID_,OBJECTID,Site_ID,Shape_Leng,Shape_Area,WS_area\n1,1,12a,2,3,0.5\n",
     }
     read = {}
@@ -374,6 +374,20 @@ def test_station_and_site_files(spark, tmp_path):
     assert [tuple(r) for r in field.watershed_areas(read["areas"]).collect()] == [("12a", 0.5)]
 
 
+def test_columns_go_by_header(spark, tmp_path):
+    first, second = tmp_path / "a_C_Q.csv", tmp_path / "b_C_Q.csv"
+    first.write_text("Year,v,id,note\n2013,1.5,01,\n2014,,NA,x\n2015,bad,03,NA\n")
+    rows = readers.read_delimited(spark, str(first), "id string, v double, note string").collect()
+    assert [tuple(r) for r in rows] == [("01", 1.5, ""), (None, None, "x"), ("03", None, None)]
+    kept = readers.read_delimited(spark, str(first), "id string", others=True)
+    assert kept.columns == ["id", "Year", "v", "note"] and kept.dropna().count() == 1
+    with pytest.raises(ValueError, match="no column flow"):
+        readers.read_delimited(spark, str(first), "id string, flow double")
+    second.write_text("v,Year,id,note\n1.5,2013,01,\n")
+    with pytest.raises(Exception, match="CSV header"):
+        readers.read_matching(spark, str(tmp_path), "*_C_Q.csv", "id string, v double").collect()
+
+
 def test_dotted_names_and_missing_ids(spark):
     from freshet.functions.labels import pad_station
     from freshet.operators.attributes import drop_all_zero_columns, null_fraction_by_column
