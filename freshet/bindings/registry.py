@@ -610,10 +610,13 @@ def _(spark, sf):
 @register(
     "threshold_site_count",
     """select count(*) filter (where mean_srp >= 0.02) as eutrophic_any,
-              count(*) filter (where n >= 3 and mean_srp > 0.02) as eutrophic_masked,
+              count(*) filter (where n >= 3 and mean_srp > 0.02 and t.station_number is not null
+                                     and s.station_number is not null) as eutrophic_masked,
               count(*) filter (where mean_srp > 0.033 and pct_slope_change > 0 and slope2 > 0
                                      and p2 <= 0.05) as strengthened
-       from lowmeans l join transport t using (station_number) where season = 'Late Summer'""",
+       from lowmeans l left join transport t on l.station_number = t.station_number
+            left join stations s on l.station_number = s.station_number
+       where season = 'Late Summer'""",
     ints="eutrophic_any,eutrophic_masked,strengthened",
 )
 def _(spark, sf):
@@ -621,7 +624,7 @@ def _(spark, sf):
     rows = stations.prepared_samples(samples)
     means = seasonal.seasonal_low_flow_mean(rows)
     return seasonal.threshold_site_count(
-        seasonal.with_behavior(means, tables.transport_of(samples, rows))
+        means, tables.transport_of(samples, rows), station_attributes(spark, sf)
     )
 
 

@@ -146,34 +146,34 @@ def sites_above_threshold(
     )
 
 
-def with_behavior(summary: DataFrame, transport: DataFrame) -> DataFrame:
-    """Transport results of the station beside its seasonal means."""
-    kept = transport.select(
-        "station_number", "station_name", "behavior", "pct_slope_change", "slope2", "p2"
-    )
-    return attach(summary, summarised(kept, "transport"), ["station_number"])
-
-
 def threshold_site_count(
     summary: DataFrame,
+    transport: DataFrame,
+    described: Sized,
     season: str = "Late Summer",
     eutrophic: float = 0.02,
     drained: float = 0.033,
     significant: float = 0.05,
 ) -> DataFrame:
-    """Three counts for one season in one pass over means joined to transport.
+    """Three counts over the means of one season, in one pass.
 
-    ``eutrophic_any`` uses unmasked means and ``>=``; ``eutrophic_masked`` needs
-    enough samples and ``>``; ``strengthened`` is above the drainage level with a
-    stronger positive slope once late-summer low flows are held out.
+    ``eutrophic_any`` takes all unmasked means and ``>=``; ``eutrophic_masked`` needs enough
+    samples, ``>``, and a station that has transport results and attributes (``described``: one
+    row per station); ``strengthened`` is above the drainage level with a stronger positive slope
+    once late-summer low flows are held out.
     """
     mean = F.col("mean_srp")
+    fits = transport.select("station_number", "pct_slope_change", "slope2", "p2", F.lit(True).alias("has_transport"))
+    known = Sized(described.frame.select("station_number", F.lit(True).alias("has_attributes")), described.rows)
+    rows = attach(summary.where(F.col("season") == season), summarised(fits, "transport"), ["station_number"], "left")
+    rows = attach(rows, known, ["station_number"], "left")
+    masked = (F.col("n") >= MIN_GROUP) & (mean > eutrophic) & F.col("has_transport") & F.col("has_attributes")
     stronger = (
         (F.col("pct_slope_change") > 0) & (F.col("slope2") > 0) & (F.col("p2") <= significant)
     )
-    return summary.where(F.col("season") == season).agg(
+    return rows.agg(
         F.count_if(mean >= eutrophic).alias("eutrophic_any"),
-        F.count_if((F.col("n") >= MIN_GROUP) & (mean > eutrophic)).alias("eutrophic_masked"),
+        F.count_if(masked).alias("eutrophic_masked"),
         F.count_if((mean > drained) & stronger).alias("strengthened"),
     )
 

@@ -374,6 +374,14 @@ def test_station_and_site_files(spark, tmp_path):
     assert [tuple(r) for r in field.watershed_areas(read["areas"]).collect()] == [("12a", 0.5)]
 
 
+def test_thresholds_count_stations_without_transport_or_attributes(spark):
+    means = [(k, k, "Late Summer", 0.05, 5) for k in ("a", "b", "c")] + [("d", "d", "Spring", 0.05, 5)]
+    summary = spark.createDataFrame(means, "station_number string, station_name string, season string, mean_srp double, n long")
+    fits = spark.createDataFrame([("a", 5.0, 1.0, 0.01), ("b", 5.0, 1.0, 0.2)], "station_number string, pct_slope_change double, slope2 double, p2 double")
+    described = counted(spark.createDataFrame([("a",), ("c",)], "station_number string"))
+    assert tuple(seasonal.threshold_site_count(summary, fits, described).first()) == (3, 1, 1)
+
+
 def test_columns_go_by_header(spark, tmp_path):
     first, second = tmp_path / "a_C_Q.csv", tmp_path / "b_C_Q.csv"
     first.write_text("Year,v,id,note\n2013,1.5,01,\n2014,,NA,x\n2015,bad,03,NA\n")
