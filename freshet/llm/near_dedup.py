@@ -15,7 +15,8 @@ of them have, and is nearer to each copy than copies are to each other. These pa
 confirmed on the full sets and joined to components, first with the keys of two chunks,
 then with all keys that still hold two components. At last every two classes of a key
 that lie in different components, and whose sizes allow a link, are tried, so no link is
-lost, while a group of near copies costs rows in proportion to its size.
+lost. What the first passes join costs rows in proportion to a group's size; those of a
+group that stay apart are tried with all its others, which grows with the square.
 
 Components are smallest ids spread along links with shortcuts until nothing changes,
 every state being a stored table.
