@@ -140,25 +140,25 @@ class Chunk:
     def gram_places(self, order: int) -> np.ndarray:
         """Of each token, where its n-gram's key stands among the chunk's sorted distinct ones."""
         if order == 1:
-            return _places_by_number(self.hashes, self.words)
+            return _index_by_number(self.hashes, self.words)[1]
         return np.unique(self.grams(order), return_inverse=True)[1]
 
-    def context_places(self, order: int) -> np.ndarray:
-        """The same of the keys of the contexts."""
+    def context_index(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys of the contexts, and of each token where its context stands among them."""
         if order > 2:
-            return np.unique(self.contexts(order), return_inverse=True)[1]
+            return np.unique(self.contexts(order), return_inverse=True)
         before = np.roll(self.words, 1)
         before[self.first] = len(self.hashes)
-        return _places_by_number(np.append(self.hashes, START), before)
+        return _index_by_number(np.append(self.hashes, START), before)
 
 
-def _places_by_number(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Places of keys that tokens name by number: only the few different keys are sorted."""
+def _index_by_number(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and places of keys that tokens name by number: only the few different ones are sorted."""
     occurs = np.zeros(len(keys), bool)
     occurs[numbers] = True
     places = np.zeros(len(keys), np.uint32)
-    places[occurs] = np.unique(keys[occurs], return_inverse=True)[1]
-    return places[numbers]
+    found, places[occurs] = np.unique(keys[occurs], return_inverse=True)
+    return found, places[numbers]
 
 
 def chunks_of(documents: DataFrame, held_out: Column) -> DataFrame:
@@ -353,23 +353,21 @@ def _aligned(places: np.ndarray, values: Sequence[np.ndarray]) -> list[np.ndarra
     return [v[places] for v in values]
 
 
-def _probabilities(chunk: Chunk, totals: Totals, order: int, answers: Sequence[Sequence[bytes]]):
-    """Per token of a chunk: probability at ``order``, count and whether the chunk is the n-gram's
-    first. ``answers``: counts of order 1, then counts and context sums of each order after it."""
-    leads, counts = _aligned(chunk.gram_places(1), joined(answers[0]))
-    p = lowest(counts, totals)
+def _probabilities(chunk: Chunk, totals: Totals, order: int, answers: Sequence[Sequence[bytes]]) -> np.ndarray:
+    """Per token of a chunk its probability at ``order``. ``answers``: counts of order 1, then
+    counts and context sums of each order after it."""
+    _, counts = joined(answers[0])
+    p = lowest(counts, totals)[chunk.gram_places(1)]
     for k in range(2, order + 1):
-        leads, counts = _aligned(chunk.gram_places(k), joined(answers[2 * k - 3]))
-        if 2 * k - 2 >= len(answers):
-            return p, leads, counts
+        _, counts = _aligned(chunk.gram_places(k), joined(answers[2 * k - 3]))
         _, seen, kept, lower = joined(answers[2 * k - 2])
         base, bow = backoff(seen, kept, lower)
-        base, bow = _aligned(chunk.context_places(k), (np.maximum(base, 1), np.where(seen > 0, bow, 1.0)))
+        base, bow = _aligned(chunk.context_index(k)[1], (np.maximum(base, 1), np.where(seen > 0, bow, 1.0)))
         p *= bow
         del bow
         base = totals.discounts[k - 1].of(counts) * counts / base
         p = np.where(counts > 0, base, p)
-    return p, leads, counts
+    return p
 
 
 def backoff(seen: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,14 +392,15 @@ class Contexts:
 
     def __call__(self, body: bytes, *answers: Sequence[bytes]) -> tuple[np.ndarray, ...]:
         chunk = Chunk.read(body)
-        lower, leads, counts = _probabilities(chunk, self.totals, self.order, answers)
-        grams = chunk.grams(self.order)
-        _, at = np.unique(grams, return_index=True)
-        own = np.zeros(len(grams), bool)
-        own[at] = True
-        own &= (leads > 0) & (counts > 0)
+        _, at = np.unique(chunk.grams(self.order), return_index=True)
+        leads, counts = joined(answers[2 * self.order - 3])
+        own = (leads > 0) & (counts > 0)
+        at, counts = at[own], counts[own]
+        lower = _probabilities(chunk, self.totals, self.order - 1, answers)[at]
         kept = self.totals.discounts[self.order - 1].of(counts) * counts
-        return _sorted_sums(chunk.contexts(self.order), np.where(own, counts, 0).astype("<f8"), np.where(own, kept, 0.0), np.where(own, lower, 0.0))
+        keys, places = chunk.context_index(self.order)
+        places = places[at]
+        return keys, *(np.bincount(places, v, len(keys)) for v in (counts, kept, lower))
 
 
 @dataclass(frozen=True)
@@ -416,7 +415,7 @@ class _Score:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body, *answers in records(batches, *self.columns, step=1):
             chunk = Chunk.read(body)
-            p, _, _ = _probabilities(chunk, self.totals, self.order, answers)
+            p = _probabilities(chunk, self.totals, self.order, answers)
             _, counts = _aligned(chunk.gram_places(1), joined(answers[0]))
             base = np.log10((counts.astype(float) + 1) / (self.totals.tokens + self.totals.distinct + 1))
             starts = np.cumsum(chunk.lengths, dtype=np.int64) - chunk.lengths
