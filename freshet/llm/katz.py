@@ -237,10 +237,11 @@ class _Ask:
                 yield _batch(("chunk", "bucket", "body"), (pa.int64(), pa.int32(), pa.binary()), rows[k : k + 64])
 
 
-def _answer(found: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: each chunk's keys with the totals over chunks, and which chunk is a key's first.
+def _answer(found: pd.DataFrame, what) -> pd.DataFrame:
+    """One bucket: of each chunk's keys what ``what`` makes of the totals over chunks, and, where it
+    asks for that, which chunk is a key's first.
 
-    The row with chunk -1 holds the bucket's distinct keys and totals."""
+    The row with chunk -1 holds the same of the bucket's distinct keys, and the keys."""
     found = found.sort_values("chunk")
     parts = [unpack(b) for b in found["body"]]
     keys = [unpack_keys(p[0]) for p in parts]
@@ -250,12 +251,13 @@ def _answer(found: pd.DataFrame) -> pd.DataFrame:
     totals = [np.zeros(len(distinct), parts[0][k + 1].dtype) for k in range(width)]
     for k, total in enumerate(totals):
         np.add.at(total, inverse, np.concatenate([p[k + 1] for p in parts]))
+    totals = what.answer(*totals)
     leads = np.zeros(len(merged), np.uint8)
     leads[first] = 1
     rows, at, bucket = [], 0, found["bucket"].iloc[0]
     for number, own in zip(found["chunk"], keys, strict=True):
         part = slice(at, at + len(own))
-        rows.append((number, bucket, pack(leads[part], *(t[inverse[part]] for t in totals))))
+        rows.append((number, bucket, pack(*([leads[part]] if what.leads else []), *(t[inverse[part]] for t in totals))))
         at += len(own)
     rows.append((-1, bucket, pack(pack_keys(distinct), *totals)))
     return pd.DataFrame(rows, columns=["chunk", "bucket", "body"])
@@ -268,13 +270,13 @@ def exchange(chunks: DataFrame, what, keys: int, name: str) -> tuple[DataFrame,
     ``keys``: how many keys all chunks send, at most; it gives the number of buckets."""
     buckets = max(1, -(-keys // BUCKET_KEYS))
     asked = chunks.select(*what.columns).mapInArrow(_Ask(what, buckets), "chunk long, bucket int, body binary")
-    answers = stored(asked.groupBy("bucket").applyInPandas(_answer, "chunk long, bucket int, body binary"), name)
+    answers = stored(asked.groupBy("bucket").applyInPandas(lambda found: _answer(found, what), "chunk long, bucket int, body binary"), name)
     back = answers.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "body"))).alias("parts"))
     return back.select("chunk", F.col("parts.body").alias("parts")), answers.where("chunk < 0").select("bucket", "body")
 
 
 def joined(parts: Sequence[bytes]) -> list[np.ndarray]:
-    """A chunk's answer over all buckets: leads, then totals, in order of its sorted keys."""
+    """A chunk's answer over all buckets, in order of its sorted keys."""
     return [np.concatenate(c) for c in zip(*map(unpack, parts), strict=True)] if parts else []
 
 
@@ -284,6 +286,11 @@ class Counts:
 
     order: int
     columns: tuple[str, ...] = ("chunk", "body")
+    leads: bool = True
+
+    @staticmethod
+    def answer(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (counts,)
 
     def __call__(self, body: bytes) -> tuple[np.ndarray, ...]:
         chunk = Chunk.read(body)
@@ -360,9 +367,7 @@ def _probabilities(chunk: Chunk, totals: Totals, order: int, answers: Sequence[S
     p = lowest(counts, totals)[chunk.gram_places(1)]
     for k in range(2, order + 1):
         _, counts = _aligned(chunk.gram_places(k), joined(answers[2 * k - 3]))
-        _, seen, kept, lower = joined(answers[2 * k - 2])
-        base, bow = backoff(seen, kept, lower)
-        base, bow = _aligned(chunk.context_index(k)[1], (np.maximum(base, 1), np.where(seen > 0, bow, 1.0)))
+        base, bow = _aligned(chunk.context_index(k)[1], joined(answers[2 * k - 2]))
         p *= bow
         del bow
         base = totals.discounts[k - 1].of(counts) * counts / base
@@ -373,18 +378,23 @@ def _probabilities(chunk: Chunk, totals: Totals, order: int, answers: Sequence[S
 def backoff(seen: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per context, from its count, its discounted count and the lower order's share of the words
     seen after it: the divisor of its counts and its backoff weight. Where no count was small enough
-    to be discounted, one more observation is allowed for, so that something is left for the rest."""
+    to be discounted, one more observation is allowed for, so that something is left for the rest.
+    A context not seen leaves all to the lower order."""
     base = np.where(seen - kept > 1e-9 * np.maximum(seen, 1), seen, seen + 1.0)
-    left = 1.0 - kept / np.maximum(base, 1)
-    return base, left / np.maximum(1.0 - lower, 1e-15)
+    base = np.maximum(base, 1)
+    left = 1.0 - kept / base
+    return base, np.where(seen > 0, left / np.maximum(1.0 - lower, 1e-15), 1.0)
 
 
 @dataclass(frozen=True)
 class Contexts:
-    """Sums at each context of one order, of every distinct n-gram once: its first chunk sends it."""
+    """Sums at each context of one order, of every distinct n-gram once: its first chunk sends it.
+    The answer is the divisor and the backoff weight they give."""
 
     order: int
     totals: Totals
+    leads: bool = False
+    answer = staticmethod(backoff)
 
     @property
     def columns(self) -> tuple[str, ...]:
