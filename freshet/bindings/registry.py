@@ -48,8 +48,9 @@ ADDED = (
     ("Tile_density", -0.0009894957, "Tile density in the watershed in m2/km2"),
 )
 PREDICTORS = ("f1", "f2", "f3", "temp1")
-# Small forests: the checks look at shape and invariants, not at accuracy.
-SMALL = forest.ForestSpec(trees=10, features_per_split=2, min_node=5, max_depth=5)
+# As many candidates as the analysis tunes: 4 x 5 over the usual ranges, all predictors and 2 to 40 rows.
+TUNED_FEATURES = (1, 2, 3, 4)
+TUNED_NODES = (2, 11, 21, 30, 40)
 
 
 @dataclass(frozen=True)
@@ -1091,13 +1092,13 @@ def train_of(rows):
 def _(spark, sf):
     rows = splitting.exact_split(features(spark, sf), "row_id")
     train = stored(train_of(rows).select("row_id", *PREDICTORS), "train")
-    return forest.fit_imputer(train, PREDICTORS, trees=5, max_rounds=2).transform(train)
+    return forest.fit_imputer(train, PREDICTORS).transform(train)
 
 
 @register("forest_impute_apply")
 def _(spark, sf):
     rows = stored(splitting.exact_split(features(spark, sf), "row_id"), "split")
-    imputer = forest.fit_imputer(train_of(rows), PREDICTORS, trees=5, max_rounds=2)
+    imputer = forest.fit_imputer(train_of(rows), PREDICTORS)
     test = rows.where(F.col("split") == "test").select("row_id", *PREDICTORS)
     return imputer.transform(test)
 
@@ -1105,7 +1106,7 @@ def _(spark, sf):
 @register("forest_fit_predict")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS, SMALL)
+    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS)
     return forest.predict(model, rows.where(F.col("split") == "test"))
 
 
@@ -1113,7 +1114,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
     _, candidates = forest.tune_forest(
-        rows, "planted", PREDICTORS, "row_id", (1, 3), (2, 10), SMALL, folds=3
+        rows, "planted", PREDICTORS, "row_id", TUNED_FEATURES, TUNED_NODES
     )
     return forest.tuning_long(candidates)
 
@@ -1121,21 +1122,22 @@ def _(spark, sf):
 @register("permutation_importance")
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
-    model = forest.fit_forest(rows, "planted", PREDICTORS, SMALL)
+    # the forest that is explained draws rows without replacement
+    model = forest.fit_forest(rows, "planted", PREDICTORS, forest.ForestSpec(bootstrap=False))
     return forest.permutation_importance(model, rows, "planted", PREDICTORS, "row_id")
 
 
 @register("partial_dependence")
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
-    model = forest.fit_forest(rows, "planted", PREDICTORS, SMALL)
+    model = forest.fit_forest(rows, "planted", PREDICTORS)
     return forest.partial_dependence(model, rows, "f2", PREDICTORS)
 
 
 @register("model_roundtrip", "select row_id, true as same from split where split = 'test'", ints="row_id")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS, SMALL)
+    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS)
     path = fresh_path(spark, "forest")
     forest.save_model(model, path)
     test = rows.where(F.col("split") == "test")
