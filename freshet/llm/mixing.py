@@ -9,13 +9,16 @@ the sizes around it, the nearer one.
 
 The rank's cut is found without ordering a source. Ranks are mapped to [0, 1) and
 read as two digits of 12 bits: words are counted per first digit, then per second
-digit inside the one digit where the target falls, and only the documents that
-share both digits (a 16-millionth of a source) are put in order.
+digit inside the one digit where the target falls, and the documents that share both
+digits (a 16-millionth of a source, and whatever repeats one of their ids) are counted
+per id and size; only these counts are put in order. Of equal rows at the cut as many are
+taken as still fit, those with the smallest hashes of a row number that is stored with
+the sizes: rows are counted per 16-bit head of the hash, and one head's rows are ordered.
 
 Defined cases: a null source is a source, the last; null or empty texts have size
 0 and take 0 words; a null id is ranked by its text; repeated rows are ranked
-together (same rank), told apart by nothing, and so taken or left in any order
-between equal rows; a source without words has target 0.
+together (same rank) and taken or left one by one, the target ending among them; a
+source without words has target 0.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import SPACES, only
+from freshet.llm.common import SPACES
 from freshet.operators.sizing import attach, counted
 from freshet.sources.workspace import stored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 DIGIT = 4096
+HEAD_BITS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -88,19 +92,41 @@ def _crossing(sized: DataFrame, keys: list[str], digit: str) -> DataFrame:
     )
 
 
+def _ties(inside: DataFrame, last: DataFrame) -> DataFrame:
+    """Per source whose target falls among equal rows, the hash and number of the last one taken."""
+    spread = F.xxhash64("row")
+    equal = attach(inside, counted(last.where("fit < n")), ["name"]).where("place = last.place AND doc_id <=> last.doc_id AND size = last.size")
+    equal = equal.select("name", "fit", "row", spread.alias("hash"), F.shiftrightunsigned(spread, 64 - HEAD_BITS).alias("head"))
+    equal = stored(equal, "mix-equal")
+    heads = equal.groupBy("name", "head", "fit").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("name").orderBy("head"))
+    heads = heads.withColumn("upto", upto).where("upto >= fit AND upto - rows < fit").select("name", "head", (F.col("fit") - F.col("upto") + F.col("rows")).alias("take"))
+    nth = F.row_number().over(Window.partitionBy("name", "head").orderBy("hash", "row"))
+    cut = attach(equal, counted(stored(heads, "mix-heads")), ["name", "head"]).withColumn("nth", nth).where("nth = take")
+    return cut.select("name", F.struct("head", "hash", "row").alias("tie"))
+
+
 def mix(
     documents: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     total_share: float = 1.0,
     most: int = MOST_COPIES,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies and taken.
+    """Per document: doc_id, size, source_size, target, copies and taken, and a struct ``carried``
+    of the columns named, if any: a row's own, whatever ids it shares.
 
     Sources in code point order, null last, weigh ``weights`` in turn; their targets share
     ``total_share`` of all words, none above ``most`` times its own words.
     """
-    rows = only(documents, "doc_id", "text", "source").select(
-        "doc_id", "source", size_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("u")
+    kept = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []
+    rows = documents.select(
+        "doc_id",
+        "source",
+        size_of(F.col("text")).alias("size"),
+        uniform(F.col("doc_id"), F.col("text")).alias("u"),
+        F.monotonically_increasing_id().alias("row"),
+        *kept,
     )
     rows = stored(rows.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix-sizes")
     sources = rows.groupBy("name", "source").agg(F.sum("size").alias("source_size"))
@@ -120,25 +146,30 @@ def mix(
         .withColumn("second", F.pmod(F.floor(F.col("place") * (DIGIT * DIGIT)), F.lit(DIGIT)))
     )
     cut = counted(stored(_crossing(ranked.where("wanted > 0"), ["name"], "first"), "mix-first"))
-    inside = attach(ranked.where("wanted > 0"), cut, ["name"]).where("first = first_cut")
+    slim = ranked.select("name", "doc_id", "size", "row", "place", "first", "second", "wanted")
+    inside = attach(slim.where("wanted > 0"), cut, ["name"]).where("first = first_cut")
     inside = stored(inside.withColumn("wanted", F.col("wanted") - F.col("first_before")), "mix-inside")
     second = counted(stored(_crossing(inside, ["name"], "second"), "mix-second"))
     edge = attach(inside, second, ["name"]).where("second = second_cut").withColumn("wanted", F.col("wanted") - F.col("second_before"))
-    in_order = Window.partitionBy("name").orderBy("place", "doc_id", "size")
-    upto = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    groups = edge.groupBy("name", "place", "doc_id", "size", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy("name").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("left", F.col("wanted") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(in_order), F.lit(0)))
     # up to the target, and over it by one document if that is nearer
-    near = (F.col("upto") - F.col("wanted")) <= (F.col("wanted") - (F.col("upto") - F.col("size")))
+    fit = F.when(F.col("size") > 0, F.floor(F.col("left") / F.col("size") + 0.5)).when(F.col("left") >= 0, F.col("n")).otherwise(0)
     last = (
-        edge.withColumn("upto", upto)
-        .withColumn("nth", F.row_number().over(in_order))
-        .where((F.col("upto") <= F.col("wanted")) | near)
+        groups.withColumn("fit", F.least(F.col("n"), fit))
+        .where("fit > 0")
         .groupBy("name")
-        .agg(F.max(F.struct("nth", "place", "doc_id", "size")).alias("last"))
+        .agg(F.max(F.struct("place", "doc_id", "size", "fit", "n")).alias("last"))
+        .select("name", F.struct("last.place", "last.doc_id", "last.size").alias("last"), "last.fit", "last.n")
     )
-    limits = cut.frame.join(second.frame, "name", "left").join(last, "name", "left")
-    limits = counted(stored(limits.select("name", "first_cut", "second_cut", "last"), "mix-limits"))
+    last = stored(last, "mix-last")
+    limits = cut.frame.join(second.frame, "name", "left").join(last, "name", "left").join(_ties(inside, last), "name", "left")
+    limits = counted(stored(limits.select("name", "first_cut", "second_cut", "last", "tie"), "mix-limits"))
     here = F.struct("place", F.col("doc_id"), F.col("size"))
     there = F.struct("last.place", "last.doc_id", "last.size")
+    spread = F.xxhash64("row")
+    mine = F.struct(F.shiftrightunsigned(spread, 64 - HEAD_BITS).alias("head"), spread.alias("hash"), F.col("row"))
     in_sample = (
         F.when(F.col("wanted") <= 0, False)
         .when(F.col("first_cut").isNull(), True)
@@ -146,11 +177,14 @@ def mix(
         .when(F.col("second_cut").isNull(), True)
         .when(F.col("second") != F.col("second_cut"), F.col("second") < F.col("second_cut"))
         .when(F.col("last").isNull(), False)
-        .otherwise(here <= there)
+        .when(here < there, True)
+        .when(here > there, False)
+        .when(F.col("tie").isNull(), True)
+        .otherwise(mine <= F.col("tie"))
     )
     copies = F.col("whole") + F.when((F.col("size") > 0) & in_sample, 1).otherwise(0)
     return (
         attach(ranked, limits, ["name"], "left")
         .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["carried"] if carried else []))
     )

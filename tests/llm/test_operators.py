@@ -274,6 +274,20 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_mix_ends_among_rows_of_one_id(spark):
+    u = (int(hashlib.md5(b"5").hexdigest()[:13], 16) + 0.5) / 2**52
+    rows = [(i, "w w w w", "a") for i in range(10, 610)] + [(5, "w w w w", "a")] * 300
+    got = mixing.mix(documents(spark, rows).repartition(4), total_share=u * 2 / 3 + 1 / 6, carried=("doc_id", "text")).collect()
+    assert len(got) == 900 and all(r.carried.doc_id == r.doc_id and r.carried.text == "w w w w" for r in got)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 2
+    assert {r.copies for r in got if r.doc_id == 5} == {0, 1}
+
+
+def test_mix_ends_among_rows_without_id(spark):
+    got = mixing.mix(documents(spark, [(None, "w w w w", "a")] * 900).repartition(4), total_share=0.3).collect()
+    assert sum(r.taken for r in got) == 1080
+
+
 # 9: near duplicates
 
 
