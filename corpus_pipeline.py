@@ -18,8 +18,7 @@ from freshet.sources.workspace import stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with a lower score are rejected: those more likely of low quality than not.
 LEAST_SCORE = 0.5
-
-
+KEY = "_row"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,31 +27,42 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, quality.train(labels, docs), LEAST_SCORE)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows without id stay, as they are in no group."""
-    groups = near_dedup.near_duplicates(docs)
-    copies = groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return attach_anti(docs.select(*COLUMNS), copies)
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The five columns and a row key made of ``columns``: never null, the same for rows equal in them, apart for others that share an id."""
+    nulls = F.concat(*(F.col(c).isNull().cast("string") for c in columns))
+    return docs.select(*COLUMNS, F.xxhash64(nulls, *columns).alias(KEY))
 
 
-def attach_anti(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = summarised(ids, "gone")
-    return attach(rows, gone, ["doc_id"], "left_anti")
+def by_key(rows: DataFrame) -> DataFrame:
+    """What an operator sees of keyed rows: the key in place of the id."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id, a null id being the last, and of
+    rows alike in all columns one. Rows without words are in no group."""
+    rows = keyed(docs, *COLUMNS)
+    ids = stored(rows.groupBy(KEY).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-ids")
+    twice = summarised(ids.where("n > 1").select(KEY), "twice")
+    single = attach(rows, twice, [KEY], "left_anti").unionByName(attach(rows, twice, [KEY], "left_semi").dropDuplicates())
+    groups = near_dedup.near_duplicates(by_key(single)).select(F.col("doc_id").alias(KEY), "component_id")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(KEY))).alias("first")
+    kept = groups.join(ids, KEY).groupBy("component_id").agg(first).select(f"first.{KEY}")
+    return attach(single, summarised(kept, "near-kept"), [KEY], "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return attach_anti(docs.select(*COLUMNS), hit)
+    """Documents without a passage of the benchmark, each judged by its own text."""
+    rows = keyed(docs, "text")
+    found = decontamination.decontaminate(by_key(rows), read(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    return attach(rows, summarised(hit, "gone"), [KEY], "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    rows = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    met = attach(rows, summarised(taken.where("doc_id IS NOT NULL"), "copies"), ["doc_id"])
-    return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Every row as often as the mix takes it, with or without an id."""
+    taken = mixing.mix(docs.select(*COLUMNS), carried=COLUMNS).where("copies > 0")
+    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("carried.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,25 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in tokens) == sorted(r.doc_id for r in mixed.collect())
 
 
+def test_rows_without_id_or_sharing_one(spark):
+    passage = duckdb.sql(f"select text from '{SF}/benchmark.parquet' where len(text) > 80 order by item_id limit 1").fetchall()[0][0]
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [(None, a), (3, a), (3, b), (3, b), (None, c), (None, c), (4, ""), (4, ""), (5, None), (None, None), (4, d), (9, d + " more")]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    found = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    single = pipeline.drop_near_duplicates(spark, frame(rows), SF)
+    assert single.columns == list(pipeline.COLUMNS)
+    assert found(single) == sorted([(3, a), (3, b), (None, c), (4, ""), (5, None), (None, None), (4, d)], key=str)
+
+    dirty = [(None, passage), (7, passage), (7, a), (None, b), (8, None)]
+    assert found(pipeline.drop_benchmark(spark, frame(dirty), SF)) == sorted([(7, a), (None, b), (8, None)], key=str)
+
+    mixed = pipeline.mix_sources(spark, frame([(None, a), (None, b), (2, c), (2, d)]), SF)
+    assert found(mixed) == sorted([(None, a), (None, b), (2, c), (2, d)], key=str)
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "near duplicates", "benchmark decontamination", "mixing to target weights", "token output"]
     first = sorted(map(tuple, pipeline.run(spark, SF).collect()))
