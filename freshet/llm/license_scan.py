@@ -1,17 +1,19 @@
 """Licence recognition: sentences to identifiers, identifier sequences to licences.
 
-A text is cut into sentences at line ends and at ``. ! ?`` before white space or
-the end. A sentence is normalised (A-Z lower-cased, runs of ASCII characters that
-are neither letters nor digits turned into one space, trimmed) and looked up among
-known licence sentences. What remains of a document is the sequence of known
+A text is cut at line ends and at ``. ! ?`` before white space or the end. What lies
+between is normalised (A-Z lower-cased, runs of ASCII characters that are neither
+letters nor digits turned into one space, trimmed, which takes comment marks off) and
+looked up among known licence sentences, by itself or joined by spaces with the lines
+after it up to the next sentence end or line without letters and digits: from the
+first line on the longest known run is taken, then the search goes on behind it. What remains of a document is the sequence of known
 identifiers in text order; the ordered rules are tried on it one after the other,
 and what a rule matches is taken out, so that a longer rule earlier in the list
 wins over its parts. All of this is one row's work: no shuffle, no join.
 
 Defined cases: null or empty texts have no sentences and no licence; a sentence
 counts if something is left of it; identifiers no rule uses are counted as
-unmatched; repeated rows are answered once each. A sentence broken over lines is
-read line by line and so not known.
+unmatched; repeated rows are answered once each; lines, not the sentences made of
+them, are counted as ``n_sentences``.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from freshet.llm.common import lower_ascii, only
 
 ENDS = r"[.!?]+[ \t\r\n]+|[.!?]+\z|\n+"
+#: Of these ends, those that no sentence goes over.
+HARD_ENDS = r"[.!?]+[ \t\r\n]+|[.!?]+\z"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Sentences of public licence texts and notices, by identifier.
@@ -94,9 +98,17 @@ def table_of(sentences: Mapping[str, Sequence[str]]) -> dict[str, str]:
     }
 
 
-def sentences_of(text: Column) -> Column:
-    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), ENDS)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, GAPS, " "))), lambda s: s != "")
+def lines_of(text: Column) -> Column:
+    """The normalised lines, each ended by a line feed; an empty one stands where no sentence goes on."""
+    chunks = F.split(lower_ascii(F.coalesce(text, F.lit(""))), HARD_ENDS)
+    lines = lambda chunk: F.transform(F.split(chunk, "\n"), lambda s: F.trim(F.regexp_replace(s, GAPS, " ")))
+    return F.array_join(F.transform(chunks, lambda c: F.array_join(lines(c), "\n")), "\n\n")
+
+
+def pattern_of(known: Sequence[str]) -> str:
+    """Whole lines that make up a known sentence, the longest first."""
+    quoted = (r"[ \n]".join(re.escape(word) for word in k.split(" ")) for k in sorted(known, key=lambda k: (-len(k), k)))
+    return r"(?<![^\n])(" + "|".join(quoted) + r")(?![^\n])"
 
 
 def scan_licenses(
@@ -110,9 +122,13 @@ def scan_licenses(
     name_of = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     tagged = (
         only(documents, "doc_id", "text")
-        .select("doc_id", sentences_of(F.col("text")).alias("sentence"))
-        .select("doc_id", F.size("sentence").cast("long").alias("n_sentences"), F.filter("sentence", lambda s: s.isin(*known)).alias("hits"))
-        .select("doc_id", "n_sentences", F.transform("hits", lambda s: F.element_at(name_of, s)).alias("ids"))
+        .select("doc_id", lines_of(F.col("text")).alias("lines"))
+        .select(
+            "doc_id",
+            F.size(F.filter(F.split("lines", "\n"), lambda s: s != "")).cast("long").alias("n_sentences"),
+            F.regexp_extract_all("lines", F.lit(pattern_of(known)), 1).alias("hits"),
+        )
+        .select("doc_id", "n_sentences", F.transform("hits", lambda s: F.element_at(name_of, F.translate(s, "\n", " "))).alias("ids"))
         .withColumn("left0", F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     )
     # a literal pattern per rule; what it matched becomes a mark that no later rule can span

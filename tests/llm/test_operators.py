@@ -198,6 +198,30 @@ def test_license_rules(spark):
     assert license_scan.scan_licenses(documents(spark, ODD)).count() == len(ODD)
 
 
+def test_license_sentences_wrapped_over_lines(spark):
+    import textwrap
+
+    def wrapped(*names, mark="", ends="."):
+        texts = [textwrap.fill(license_scan.SENTENCES[n][0] + ("" if license_scan.SENTENCES[n][0][-1] == ":" else ends), 72) for n in names]
+        return "\n\n".join("\n".join(mark + line for line in t.split("\n")) for t in texts)
+
+    bsd = ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")
+    rows = [
+        (10, "Copyright\n\n" + wrapped("mit-grant", "mit-notice"), "a"),
+        (11, wrapped(*bsd, mark=" * ").replace("\n\n", "\n *\n").replace(" * Redistributions", " * 1. Redistributions"), "a"),
+        (12, wrapped(*bsd[:3]).replace("\n", "\r\n"), "a"),
+        (13, wrapped("gpl3-free", "gpl-hope", mark="# "), "a"),
+        (14, wrapped("gpl2-free", mark="// "), "a"),
+        (15, "Prose about it\n" + wrapped("mit-grant") + "\nmore prose", "a"),
+        (16, "Redistribution and use in source and binary forms,\n\nwith or without modification, are permitted provided that the following conditions are met:", "a"),
+        (17, "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0", "a"),
+    ]
+    found = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    expected = {10: "MIT", 11: "BSD-3-Clause", 12: "BSD-2-Clause", 13: "GPL-3.0-or-later", 14: "GPL-2.0-or-later", 15: "", 16: "", 17: ""}
+    assert {i: r.licenses for i, r in found.items()} == expected
+    assert [found[i].sentence_ids for i in (15, 16, 17)] == ["mit-grant", "", "apache2-copy"]
+
+
 # 5: pages
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><p>{run}</p></header><nav><a href=x>one</a></nav>
