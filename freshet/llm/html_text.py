@@ -10,7 +10,11 @@ container, and headings go with the text below them.
 
 Blocks inside elements that name their role (navigation, header, footer, aside, form,
 and classes or ids of adverts, notices, sidebars, menus and comments) are bad whatever
-their words are, blocks inside an article or main element that are not take the open
+their words are. A class or id names a role as a whole: all its words are roles or say
+where or what kind of box it is. An article or main element inside elements that only
+a class or id names is not held to be of their role, unless it names one itself or they
+lie in another article or main. A head ends where a tag or text begins that cannot stand
+in it. Blocks inside an article or main element that are not take the open
 class at worst, and scripts, styles and comments of the markup hold no text at all.
 
 Defined cases: null or empty html gives empty text, and so does a page without good
@@ -48,6 +52,13 @@ OUTER_ROLES = frozenset(
     "disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo "
     "promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that go with a role in one class or id and leave it that role.
+ROLE_BOXES = frozenset(
+    "area bar block bottom box col column container global inner item left links list main outer page panel posts primary right "
+    "secondary section site slot top unit wrap wrapper".split()
+)
+#: Elements that do not end a head.
+HEAD_TAGS = frozenset("head html title base link meta style script noscript template".split())
 OUTER_ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: An open element of these is closed by the next of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -88,24 +99,38 @@ WORDS = re.compile(r"[^\W\d_]+")
 ROLE_WORDS = re.compile(r"[a-z]+")
 
 
+def names_role(name: str) -> bool:
+    words = ROLE_WORDS.findall(name)
+    return not OUTER_ROLES.isdisjoint(words) and all(w in OUTER_ROLES or w in ROLE_BOXES for w in words)
+
+
 class Blocks(HTMLParser):
     """Cuts a page into blocks with what the rules need to know of each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool]] = []
+        #: tag, whether its kind or role is outer, whether its name is, whether it is inner, and how many names it sets aside
+        self.open: list[tuple[str, bool, bool, bool, int]] = []
         self.words: list[str] = []
-        self.linked = self.silent = self.outer = self.inner = self.links = 0
+        self.linked = self.silent = self.outer = self.named = self.inner = self.links = 0
         self.heading = False
 
     def end_block(self) -> None:
         text = WHITE.sub(" ", "".join(self.words)).strip()
         if text:
-            self.blocks.append(Block(text, self.linked, self.heading, self.outer > 0, self.inner > 0))
+            self.blocks.append(Block(text, self.linked, self.heading, self.outer + self.named > 0, self.inner > 0))
         self.words, self.linked = [], 0
 
+    def end_head(self, tag: str = "") -> None:
+        """End an open head before a body, or before text or a tag that cannot stand in it."""
+        if tag == "body":
+            self.handle_endtag("head")
+        elif self.open and self.open[-1][0] == "head" and tag not in HEAD_TAGS:
+            self.close_from(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_head(tag)
         if tag in CLOSES:
             self.close_within(CLOSES[tag])
         if tag == "br":
@@ -115,14 +140,19 @@ class Blocks(HTMLParser):
             self.heading = bool(re.fullmatch("h[1-6]", tag))
         if tag in VOID_TAGS:
             return
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
+        named = any(names_role(name) for k, v in attrs if k in ("class", "id") for name in (v or "").lower().split())
         outer = tag in OUTER_TAGS or any(k == "role" and (v or "").lower() in OUTER_ARIA for k, v in attrs)
-        outer = tag not in ("body", "html", "article", "main") and (outer or not OUTER_ROLES.isdisjoint(ROLE_WORDS.findall(named)))
+        inner = tag in INNER_TAGS
+        aside = 0 if named or not inner or self.inner else self.named
+        if inner or tag in ("body", "html"):
+            outer = named = False
         # an article's own header holds its headings
-        outer = outer and not (tag == "header" and self.inner and not self.outer)
-        self.open.append((tag, outer, tag in INNER_TAGS))
+        if tag == "header" and self.inner and not self.outer + self.named:
+            outer = named = False
+        self.open.append((tag, outer, named, inner, aside))
         self.outer += outer
-        self.inner += tag in INNER_TAGS
+        self.named += named - aside
+        self.inner += inner
         self.silent += tag in SILENT_TAGS
         self.links += tag == "a"
 
@@ -137,15 +167,16 @@ class Blocks(HTMLParser):
 
     def close_from(self, at: int) -> None:
         self.end_if_block(self.open[at:])
-        for tag, outer, inner in self.open[at:]:
+        for tag, outer, named, inner, aside in self.open[at:]:
             self.outer -= outer
+            self.named -= named - aside
             self.inner -= inner
             self.silent -= tag in SILENT_TAGS
             self.links -= tag == "a"
         del self.open[at:]
 
     def end_if_block(self, closing: list) -> None:
-        if any(tag in BLOCK_TAGS for tag, _, _ in closing):
+        if any(tag in BLOCK_TAGS for tag, *_ in closing):
             self.end_block()
             self.heading = False
 
@@ -158,6 +189,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.silent:
             self.words.append(data)
             self.linked += self.links and len(data.strip())

@@ -245,6 +245,24 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post with-comments", "no-ads", "sidebar"])
+def test_article_in_a_wrapper_named_by_class(name):
+    run = RUN.strip()
+    page = f"<body><div class='{name}'><article><p>{run}</p></article></div><div class='comments-section'><p>{run}</p></div>"
+    assert html_text.main_text(page) == run
+    inside = f"<main><p>{run}</p><div class=comments><article><p>{run}</p></article></div></main>"
+    assert html_text.main_text(inside) == run
+    assert html_text.main_text(f"<nav><article><p>{run}</p></article></nav><div class='ad'><p>{run}</p></div>") == ""
+
+
+def test_head_without_its_end_tag():
+    run = RUN.strip()
+    for begin in ("<body>", "", "<div>", "<noscript><img src=x></noscript><body>"):
+        page = f"<html><head><meta charset=utf-8><title>T</title><script>var x = 1;</script>\n{begin}<p>{run}</p>"
+        assert html_text.main_text(page) == run
+    assert html_text.main_text(f"<head><title>T</title>{run}") == run
+
+
 def test_every_article_of_the_table(spark):
     import html
 
