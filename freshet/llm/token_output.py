@@ -14,8 +14,8 @@ uses. Spark commits the list of files; what a lost attempt wrote is in no list.
 
 Defined cases: a null text is an empty one, and an empty document is its end id; a
 null id comes first; rows that share an id stand together, ordered by a digest of
-their text; an empty table gives no file and no rows. The names of special tokens
-are ordinary text when they occur in a document.
+their text; an empty table gives no file and no rows. The name of a special token
+in a document is that token, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -62,50 +62,77 @@ ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 FOOTER = struct.Struct("<IBI")
 
 FILES = "path string, part int, first long, last long, documents long, ids long"
-#: A cut here never falls inside a token: byte-level BPE starts a new word at a space before such a character.
+#: A cut never falls inside a token: byte-level BPE starts a new word at a space before such a character.
 CUTS = re.compile("(?= [!-~À-ÿ])")
+#: A space before anything else is no cut.
+NO_CUT = re.compile(" (?![!-~À-ÿ])")
+#: New pieces encoded as one text.
+TOGETHER = 2000
 
 
 class Encoder:
     """Ids of whole texts. A text is cut where the vocabulary's own word rule cuts too; the
-    library encodes the pieces, each once while it is remembered."""
+    library encodes the pieces, each once while it is remembered. Pieces that follow a cut are
+    remembered without their space, so most texts are cut by their spaces alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
-        # a byte-level token has one character per byte of text
+        self.first: dict[str, bytes] = {}
+        # a byte-level token has one character per byte of text, as has an added token of ASCII
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.bytes_of[number] = len(token)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
-        pieces = [CUTS.split(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {piece for parts in pieces for piece in parts if piece not in known}
-        self._learn_together([piece for piece in new if CUTS.match(piece)])
-        self._learn([piece for piece in new if not CUTS.match(piece)])
-        return [b"".join(map(known.__getitem__, parts)) for parts in pieces]
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, encoding in zip(pieces, found, strict=True):
-            self.known[piece] = np.array(encoding.ids, f"<u{self.width}").tobytes()
-
-    def _learn_together(self, pieces: list[str]) -> None:
-        """Pieces that each begin where a text may be cut are encoded as one text and told apart by length."""
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            (encoding,) = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
-            ids = np.array(encoding.ids, f"<u{self.width}")
-            ends = np.cumsum([len(piece.encode()) for piece in part])
+        for memory in (self.known, self.first):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        cut = [self._cut(text) for text in texts]
+        heads = [parts.pop(0) for parts in cut]
+        self._learn({head for head in heads if head not in self.first}, self.first)
+        get, missing, found = self.known.get, set(), []
+        for parts in cut:
+            ids = list(map(get, parts))
+            if None in ids:
+                missing.update(part for part, known in zip(parts, ids, strict=True) if known is None)
+                ids = None
+            found.append(ids)
+        if missing:
+            self._learn_together(missing)
+        have = self.known.__getitem__
+        return [self.first[head] + b"".join(map(have, parts) if ids is None else ids) for head, parts, ids in zip(heads, cut, found, strict=True)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The text up to its first cut, then the pieces after each cut, without the space there."""
+        if not NO_CUT.search(text):
+            return text.split(" ")
+        head, *rest = CUTS.split(text)
+        return [head, *(piece[1:] for piece in rest)]
+
+    def _ids(self, text: str) -> np.ndarray:
+        (encoding,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoding.ids, f"<u{self.width}")
+
+    def _learn(self, pieces: Iterable[str], memory: dict[str, bytes], space: str = "") -> None:
+        for piece in pieces:
+            memory[piece] = self._ids(space + piece).tobytes()
+
+    def _learn_together(self, pieces: Iterable[str]) -> None:
+        """Pieces without a space inside are encoded as one text and told apart by where its spaces are."""
+        plain = [piece for piece in pieces if " " not in piece]
+        self._learn((piece for piece in pieces if " " in piece), self.known, " ")
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            text = " " + " ".join(part)
+            ids, given = self._ids(text), np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(given == 32)[1:], len(given))
             cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
             packed, before = ids.tobytes(), 0
             for piece, cut in zip(part, cuts.tolist(), strict=True):

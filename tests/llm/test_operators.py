@@ -51,11 +51,10 @@ def test_every_operator_is_registered():
 
 
 def test_tokens_round_trip(spark):
-    rows = [*ODD, (9, "a <|endoftext|> b", "a"), (8, "the cat's  hat\n\n and\tmore", "a")]
+    rows = [*ODD, (9, "a <|endoftext|> b", "a"), (10, "  two  spaces \n x<|endoftext|>y <|endoftext|>", "a"), (11, " ", "a"), (12, " lead  日 本 é", "a"), (8, "the cat's  hat\n\n and\tmore", "a")]
     files = token_output.write_tokens(documents(spark, rows), TOKENIZER, file_documents=3)
     found = token_output.read_summary(files).collect()
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     want, start = [], 0
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, token_output.END_ID]
@@ -88,7 +87,6 @@ def test_no_documents_no_tokens(spark):
 
 def test_pieces_encode_like_whole_texts():
     encoder, plain, rng = token_output.Encoder(TOKENIZER), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
-    plain.encode_special_tokens = True
     parts = [" ", "  ", "\n", " \n", "\t", "a", "B", "é", "1", "'s", "!", "***", "<|endoftext|>", "日", "\x85", " ", "😀", "ÿ", "\r\n", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
