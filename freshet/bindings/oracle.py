@@ -207,6 +207,10 @@ CHAIN = {
         select *, case when row_number() over (order by md5(cast(row_id as varchar) || '-100'), row_id)
                             <= floor(0.7e0 * count(*) over ()) then 'train' else 'test' end as split
         from features""",
+    "filled": """
+        select row_id, planted, f1, f2, f3,
+               coalesce(temp1, (select median(temp1) from split where split = 'train')) as temp1
+        from split where split = 'train'""",
 }
 
 

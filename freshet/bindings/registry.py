@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +49,6 @@ ADDED = (
     ("Tile_density", -0.0009894957, "Tile density in the watershed in m2/km2"),
 )
 PREDICTORS = ("f1", "f2", "f3", "temp1")
-# As many candidates as the analysis tunes: 4 x 5 over the usual ranges, all predictors and 2 to 40 rows.
-TUNED_FEATURES = (1, 2, 3, 4)
-TUNED_NODES = (2, 11, 21, 30, 40)
 
 
 @dataclass(frozen=True)
@@ -1072,7 +1070,12 @@ def _(spark, sf):
     )
 
 
-# --- forest workflow: rows-only checks -----------------------------------------------------
+# --- forest workflow: what SQL can state of it -----------------------------------------------
+# Another library's forest has other numbers, so the queries return what holds of any right one
+# beside the rows: known cells unchanged, predictions inside the range of the training values,
+# an error below that of the mean, sizes of folds and bags, settings, grids.
+
+MODELS: dict[tuple[str, str], PipelineModel] = {}
 
 
 def model_rows(spark, sf):
@@ -1088,59 +1091,166 @@ def train_of(rows):
     return rows.where(F.col("split") == "train")
 
 
-@register("forest_impute")
+def test_of(rows):
+    return rows.where(F.col("split") == "test")
+
+
+def shared_model(spark, sf):
+    """The forest that three queries use, fitted once per application and data."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in MODELS:
+        MODELS[at] = forest.fit_forest(train_of(model_rows(spark, sf)), "planted", PREDICTORS)
+    return MODELS[at]
+
+
+def judged(predictions, train):
+    """Per row: is its prediction inside the range of the training values; and of all rows: is their
+    squared error below half of their variance."""
+    low, high = (train.agg(f("planted").alias("v")).scalar() for f in (F.min, F.max))
+    predictions = stored(predictions, "predictions")
+    error = F.avg(F.pow(F.col("prediction") - F.col("planted"), 2)) < F.var_pop("planted") / 2
+    better = predictions.agg(error.alias("better")).scalar()
+    return predictions.select("row_id", "planted", F.col("prediction").between(low, high).alias("in_range"), better.alias("better_than_mean"))
+
+
+JUDGED_SQL = "select row_id, planted, true as in_range, true as better_than_mean from split where split = 'test'"
+
+
+def imputed_facts(filled, before):
+    """Known cells as they came out, and for the gap column whether each filled cell is inside the
+    range of the known ones."""
+    low, high = (before.agg(f("temp1").alias("v")).scalar() for f in (F.min, F.max))
+    gaps = before.select("row_id", F.col("temp1").isNull().alias("gap"))
+    fits = F.when(F.col("gap"), F.col("temp1").between(low, high))
+    return filled.join(gaps, "row_id").select("row_id", "f1", "f2", "f3", F.when(~F.col("gap"), F.col("temp1")).alias("temp1"), fits.alias("gap_in_range"))
+
+
+def imputed_sql(part):
+    return f"""select row_id, f1, f2, f3, temp1, case when temp1 is null then true end as gap_in_range
+               from split where split = '{part}'"""
+
+
+@register("forest_impute", imputed_sql("train"), "f1,f2,f3,temp1", "row_id")
 def _(spark, sf):
     rows = splitting.exact_split(features(spark, sf), "row_id")
     train = stored(train_of(rows).select("row_id", *PREDICTORS), "train")
-    return forest.fit_imputer(train, PREDICTORS).transform(train)
+    return imputed_facts(forest.fit_imputer(train, PREDICTORS, "row_id").filled, train)
 
 
-@register("forest_impute_apply")
+@register("forest_impute_apply", imputed_sql("test"), "f1,f2,f3,temp1", "row_id")
 def _(spark, sf):
     rows = stored(splitting.exact_split(features(spark, sf), "row_id"), "split")
-    imputer = forest.fit_imputer(train_of(rows), PREDICTORS)
-    test = rows.where(F.col("split") == "test").select("row_id", *PREDICTORS)
-    return imputer.transform(test)
+    imputer = forest.fit_imputer(train_of(rows), PREDICTORS, "row_id")
+    test = test_of(rows).select("row_id", *PREDICTORS)
+    return imputed_facts(imputer.transform(test), rows.select("row_id", "temp1"))
+
+
+@register("forest_fit_predict", JUDGED_SQL, "planted", "row_id")
+def _(spark, sf):
+    rows = model_rows(spark, sf)
+    return judged(forest.predict(shared_model(spark, sf), test_of(rows)), train_of(rows))
 
 
-@register("forest_fit_predict")
+@register("forest_without_replacement", f"select *, floor(0.632e0 * (select count(*) from split where split = 'train')) as bag_rows from ({JUDGED_SQL}) as j", "planted", "row_id,bag_rows")
 def _(spark, sf):
     rows = model_rows(spark, sf)
-    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS)
-    return forest.predict(model, rows.where(F.col("split") == "test"))
+    model = forest.fit_bagged(train_of(rows), "planted", PREDICTORS, "row_id", forest.ForestSpec(bootstrap=False))
+    sizes = train_of(rows).agg(*[F.sum(model.bags.count(b)).alias(f"b{b}") for b in range(model.bags.number)])
+    least, most = (sizes.select(f(*sizes.columns)).scalar() for f in (F.least, F.greatest))
+    found = judged(model.predict(test_of(rows)), train_of(rows))
+    # every bag has the same number of rows, or none is given
+    return found.withColumn("bag_rows", F.when(least == most, least))
+
+
+STRATA_SQL = """
+    select i as candidate,
+           row_number() over (order by md5('split-345-' || i), cast(i as varchar)) - 1 as split_stratum,
+           row_number() over (order by md5('node-345-' || i), cast(i as varchar)) - 1 as node_stratum
+    from range(1, 21) as r(i)"""
+GRID_SQL = """1 + floor((split_stratum + 0.5) * 4 / 20) as features_per_split,
+              2 + floor((node_stratum + 0.5) * 39 / 20) as min_node"""
 
 
-@register("forest_tune")
+@register(
+    "tuning_grid",
+    f"""select candidate, split_stratum, node_stratum, {GRID_SQL},
+               (select count(*) from split where split = 'train') as rows_compared
+        from ({STRATA_SQL}) as strata""",
+    ints="candidate,split_stratum,node_stratum,features_per_split,min_node,rows_compared",
+)
+def _(spark, sf):
+    grid = forest.latin_grid(spark, len(PREDICTORS))
+    rows = train_of(splitting.exact_split(features(spark, sf), "row_id"))
+    return grid.withColumn("rows_compared", rows.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@register(
+    "tuning_folds",
+    """select row_id, (row_number() over (order by md5(cast(row_id as varchar) || '-234'), row_id) - 1) % 10 as fold
+       from features""",
+    ints="row_id,fold",
+)
+def _(spark, sf):
+    return splitting.deal_folds(features(spark, sf).select("row_id"), "row_id", forest.FOLDS)
+
+
+@register(
+    "forest_tune",
+    f"select {GRID_SQL}, true as better_than_mean, true as one_best from ({STRATA_SQL}) as strata",
+    ints="features_per_split,min_node",
+)
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
-    _, candidates = forest.tune_forest(
-        rows, "planted", PREDICTORS, "row_id", TUNED_FEATURES, TUNED_NODES
-    )
-    return forest.tuning_long(candidates)
+    grid = forest.latin_grid(spark, len(PREDICTORS))
+    best, compared = forest.tune_forest(rows, "planted", PREDICTORS, "row_id", grid)
+    spread = rows.agg(F.stddev_pop("planted")).scalar()
+    chosen = compared.where((F.col("features_per_split") == best.features_per_split) & (F.col("min_node") == best.min_node))
+    least = compared.agg(F.min("rmse").alias("v")).scalar()
+    return compared.select(
+        "features_per_split", "min_node", ((F.col("rmse") > 0) & (F.col("rmse") < spread)).alias("better_than_mean"),
+        (chosen.agg(F.max("rmse").alias("v")).scalar() == least).alias("one_best"),
+    )
 
 
-@register("permutation_importance")
+@register(
+    "permutation_importance",
+    """select predictor, predictor = 'f2' as strongest, true as finite
+       from (values ('f1'), ('f2'), ('f3'), ('temp1')) as p(predictor)""",
+)
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
     # the forest that is explained draws rows without replacement
-    model = forest.fit_forest(rows, "planted", PREDICTORS, forest.ForestSpec(bootstrap=False))
-    return forest.permutation_importance(model, rows, "planted", PREDICTORS, "row_id")
+    model = forest.fit_bagged(rows, "planted", PREDICTORS, "row_id", forest.ForestSpec(bootstrap=False))
+    found = stored(forest.permutation_importance(model, rows, "row_id"), "importance")
+    most = found.agg(F.max("importance").alias("v")).scalar()
+    return found.select("predictor", (F.col("importance") == most).alias("strongest"), (F.abs("importance") < 1e300).alias("finite"))
+
+
+DEPENDENCE_SQL = " union all ".join(
+    f"""select '{c}' as feature, low + k * (case when n > 1 then (high - low) / (n - 1) else 0 end) as value, true as in_range
+        from (select min({c}) as low, max({c}) as high, least(51, count(distinct {c})) as n from filled),
+             (select unnest(range(0, 51)) as k) as steps where k < n"""
+    for c in PREDICTORS
+)
 
 
-@register("partial_dependence")
+@register(
+    "partial_dependence",
+    f"select * from ({DEPENDENCE_SQL}) as d",
+    "value",
+)
 def _(spark, sf):
     rows = train_of(model_rows(spark, sf))
-    model = forest.fit_forest(rows, "planted", PREDICTORS)
-    return forest.partial_dependence(model, rows, "f2", PREDICTORS)
+    low, high = (rows.agg(f("planted").alias("v")).scalar() for f in (F.min, F.max))
+    curves = forest.partial_dependence(shared_model(spark, sf), rows, PREDICTORS, PREDICTORS)
+    return curves.select("feature", "value", F.col("mean_prediction").between(low, high).alias("in_range"))
 
 
 @register("model_roundtrip", "select row_id, true as same from split where split = 'test'", ints="row_id")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
-    model = forest.fit_forest(train_of(rows), "planted", PREDICTORS)
-    path = fresh_path(spark, "forest")
+    test = test_of(model_rows(spark, sf))
+    model, path = shared_model(spark, sf), fresh_path(spark, "forest")
     forest.save_model(model, path)
-    test = rows.where(F.col("split") == "test")
     before = forest.predict(model, test).withColumnRenamed("prediction", "before")
     both = forest.predict(forest.load_model(path), before)
     return both.select("row_id", (F.col("prediction") == F.col("before")).alias("same"))

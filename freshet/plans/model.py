@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.forest import (
+    CANDIDATES,
     FOLDS,
     IMPUTE_TREES,
+    TREES_PER_BAG,
     ForestImputer,
     ForestSpec,
+    fit_bagged,
     fit_forest,
     fit_imputer,
+    latin_grid,
     permutation_importance,
     predict,
     regression_metrics,
@@ -40,42 +44,35 @@ def run_model(
     row_id: str,
     target: str,
     predictors: Sequence[str],
-    features_per_split: Sequence[int],
-    min_node: Sequence[int],
     spec: ForestSpec | None = None,
     folds: int = FOLDS,
     impute_trees: int = IMPUTE_TREES,
     share: float = 0.70,
+    candidates: int = CANDIDATES,
+    trees_per_bag: int = TREES_PER_BAG,
 ) -> ModelRun:
     """One forest from raw rows to importance.
 
-    Gaps and scales are learnt from training rows only and applied to test rows.
-    Predictions return to the target's own scale before they are scored. The
-    forest that is explained draws rows without replacement.
+    Gaps and scales are learnt from training rows only and applied to test rows. The forest with
+    the tuned setting is fitted with all its trees; predictions return to the target's own scale
+    before they are scored. The forest that is explained has the same setting and draws rows
+    without replacement.
     """
     spec = spec or ForestSpec()
     kept = rows.select(row_id, target, *predictors)
     split = stored(exact_split(kept, row_id, share), "split")
     is_train = F.col("split") == "train"
-    imputer = fit_imputer(split.where(is_train), predictors, impute_trees)
+    imputer = fit_imputer(split.where(is_train), predictors, row_id, impute_trees)
     filled = stored(imputer.transform(split), "filled")
     known = filled.where(is_train)
     scaled = stored(standardize(filled, [target, *predictors], known), "scaled")
     train, test = scaled.where(is_train), scaled.where(~is_train)
 
-    best, candidates = tune_forest(
-        train, target, predictors, row_id, features_per_split, min_node, spec, folds
-    )
-    scored = unscale(predict(best, test), [target, "prediction"], known, target)
-    chosen = candidates.orderBy("rmse").first()
-    explained = replace(
-        spec,
-        features_per_split=chosen["features_per_split"],
-        min_node=chosen["min_node"],
-        bootstrap=False,
-    )
-    importance = permutation_importance(
-        fit_forest(train, target, predictors, explained), train, target, predictors, row_id
-    )
+    grid = latin_grid(rows.sparkSession, len(predictors), candidates)
+    tuned, compared = tune_forest(train, target, predictors, row_id, grid, spec, folds)
+    model = fit_forest(train, target, predictors, tuned)
+    scored = unscale(predict(model, test), [target, "prediction"], known, target)
+    explained = fit_bagged(train, target, predictors, row_id, replace(tuned, bootstrap=False), trees_per_bag)
+    importance = permutation_importance(explained, train, row_id)
     metrics = regression_metrics(scored, f"{target}_unscaled", "prediction_unscaled")
-    return ModelRun(best, imputer, candidates, scored, metrics, importance)
+    return ModelRun(model, imputer, compared, scored, metrics, importance)
