@@ -14,7 +14,7 @@ from freshet.operators import (
     transport, weighted,
 )
 from freshet.operators.order_stats import bands_for, quantiles
-from freshet.operators.sizing import SALTS, Sized, attach, counted, summarised
+from freshet.operators.sizing import Sized, attach, counted, hot_keys, summarised
 from freshet.plans import stations
 from freshet.sources import readers, schemas, sinks
 
@@ -97,10 +97,32 @@ def test_salted_attach_equals_broadcast(spark, how):
     assert plain.columns == salted.columns
 
 
-def test_salt_spreads_one_hot_key(spark):
-    fact = spark.range(10000).withColumn("k", F.lit(1))
-    salts = fact.select(F.pmod(F.xxhash64("id", "k"), F.lit(SALTS)).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == SALTS and max(r["count"] for r in salts) < 10000 / SALTS * 1.5
+def test_hot_keys_are_found_and_only_they_are_dealt(spark):
+    fact = spark.range(30000, numPartitions=12).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.lit("same").alias("text"))
+    hot = hot_keys(fact, ["k"]).collect()
+    assert [(r["_key"], r["_parts"]) for r in hot] == [(fact.where("k = 7").select(F.xxhash64("k")).first()[0], 3)]
+    table = Sized(spark.range(30000).select(F.col("id").alias("k"), F.col("id").alias("v")), 30000)
+    joined = attach(fact, table, ["k"], limit=0)
+    assert joined.agg(F.count("*"), F.sum("v")).first() == fact.join(table.frame, "k").agg(F.count("*"), F.sum("v")).first()
+    assert hot_keys(spark.range(5000).select(F.col("id").alias("k")), ["k"]) is None
+    assert hot_keys(fact.where("k < 0"), ["k"]) is None
+
+
+def test_equal_rows_of_a_hot_key_reach_several_tasks(spark):
+    """A third of all rows alike in every column: none of the join's tasks has more than its part of them."""
+    fact = spark.range(24000, numPartitions=24).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("k"))
+    table = Sized(spark.range(24010).select(F.col("id").alias("k"), F.lit(1).alias("v")), 24010)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = attach(fact, table, ["k"], limit=0).where("k = 1").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in tasks) == 8000 and len(tasks) >= 2 and max(r["count"] for r in tasks) <= 6000
+
+
+def test_measured_bytes_of_texts(spark):
+    long = spark.range(10).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert summarised(long, "long").bytes_in_memory > 1_000_000 > Sized(long, 10).bytes_in_memory
 
 
 def test_summarised_counts_rows(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freshet.bindings import registry
 from freshet.bindings.views import view
 from freshet.operators import cleaning, flow, matching, regression
-from freshet.operators.sizing import attach, counted
+from freshet.operators.sizing import attach, counted, hot_keys
 from tests.conftest import SF
 
 
@@ -42,15 +42,22 @@ def test_fits_combine_before_the_shuffle(spark, capsys):
     assert len(re.findall(r"\n\(\d+\) Exchange", plan)) == 1 and "Python" not in plan
 
 
-def test_above_the_limit_the_join_is_salted(spark, capsys):
-    fact = spark.range(100).withColumn("k", F.col("id") % 7)
-    table = counted(spark.range(7).select(F.col("id").alias("k"), F.lit(1).alias("w")))
+def test_above_the_limit_only_hot_keys_are_repeated(spark, capsys):
+    """Without hot keys a plain join; with them the table's other rows are still joined once."""
+    fact = spark.range(5000).withColumn("k", F.when(F.col("id") < 2500, -1).otherwise(F.col("id")))
+    table = counted(spark.range(-1, 5000).select(F.col("id").alias("k"), F.lit(1).alias("w")))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = plan_of(attach(fact, table, ["k"], limit=0), capsys)
+        cold = plan_of(attach(fact.where("k > 0"), table, ["k"], limit=0), capsys)
+        joined = attach(fact, table, ["k"], limit=0)
+        hot = plan_of(joined, capsys)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "_salt" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "SortMergeJoin" in cold and "_salt" not in cold and "Broadcast" not in cold
+    assert "SortMergeJoin" in hot and "_salt" in hot and joined.count() == 5000
+    found = hot_keys(fact, ["k"])
+    copies = table.frame.withColumn("_key", F.xxhash64("k")).join(found, "_key", "left").agg(F.sum(F.coalesce("_parts", F.lit(1)))).first()[0]
+    assert copies == 5001 + found.first()["_parts"] - 1
 
 
 def test_topk_keeps_k_rows_per_task(spark, capsys):
