@@ -15,8 +15,8 @@ of them have, and is nearer to each copy than copies are to each other. These pa
 confirmed on the full sets and joined to components, first with the keys of two chunks,
 then with all keys that still hold two components. At last every two classes of a key
 that lie in different components, and whose sizes allow a link, are tried, so no link is
-lost. What the first passes join costs rows in proportion to a group's size; those of a
-group that stay apart are tried with all its others, which grows with the square.
+lost. Before that, a class whose own shingles (in no other class that is left) rule out every
+link falls: those are the copies that edits of their own took just below the share.
 
 Components are smallest ids spread along links with shortcuts until nothing changes,
 every state being a stored table.
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import only, records, ship
 from freshet.llm.katz import mixed
-from freshet.operators.sizing import Sized, attach, counted
+from freshet.operators import sizing
+from freshet.operators.sizing import Sized, summarised
 from freshet.sources.workspace import stored
 
 SYMBOLS, CHUNK = 60, 5
@@ -47,6 +48,18 @@ SYMBOLS, CHUNK = 60, 5
 MOST_WRONG = 2 * (SYMBOLS // CHUNK) - 1
 #: Words whose documents are sketched together.
 BATCH_WORDS = 500_000
+#: Tables up to this many bytes are broadcast. A run has some thirty of them, and the driver holds
+#: each until its garbage is collected.
+BROADCAST_BYTES = 4 * 1024 * 1024
+
+
+def attach(fact: DataFrame, table: Sized, on: list[str], how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
+    return sizing.attach(fact, table, on, how, BROADCAST_BYTES, keys_from)
+
+
+def sized(table: DataFrame) -> Sized:
+    """A stored table with its counted rows; its columns are numbers or of known width."""
+    return sizing.counted(table)
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +219,10 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     state = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "class"), "components")
     while True:
-        known = counted(state)
-        reached = attach(both, counted(state.withColumnRenamed("class", "b")), ["b"]).groupBy("a").agg(F.min("component").alias("near"))
+        known = sized(state)
+        reached = attach(both, sized(state.withColumnRenamed("class", "b")), ["b"]).groupBy("a").agg(F.min("component").alias("near"))
         moved = attach(reached.withColumnRenamed("a", "class"), known, ["class"]).select("class", "component", F.least("near", "component").alias("low"))
-        jump = counted(state.select(F.col("class").alias("low"), F.col("component").alias("lower")))
+        jump = sized(state.select(F.col("class").alias("low"), F.col("component").alias("lower")))
         after = stored(attach(moved, jump, ["low"], "left").select("class", "component", F.least("low", F.coalesce("lower", "low")).alias("next")), "components")
         changed = after.where("next < component").limit(1).count()
         state = after.select("class", F.col("next").alias("component"))
@@ -219,27 +232,78 @@ def components(links: DataFrame) -> DataFrame:
 
 def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures differ in at most MOST_WRONG symbols."""
-    known = counted(classes)
+    known = sized(classes)
+    met = pairs
     for side in ("a", "b"):
         own = classes.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}"))
-        pairs = attach(pairs, type(known)(own, known.rows), [side])
-    return pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(_wrong, "a long, b long, wrong int")
+        met = attach(met, Sized(own, known.rows, 2 * SYMBOLS * known.rows), [side], keys_from=pairs)
+    return met.select("a", "b", "signature_a", "signature_b").mapInArrow(_wrong, "a long, b long, wrong int")
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Which of the stored pairs are linked, by the full sets of the two classes."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = counted(stored(classes.select("class", "digest").join(involved, "class", "left_semi"), "involved"))
-    ids = type(wanted)(wanted.frame.select(F.col("class").alias("doc_id")), wanted.rows)
+def _sets_of(wanted: DataFrame, documents: DataFrame, classes: DataFrame, words: int) -> Sized:
+    """(class, members) of the wanted classes: sets are made again from the texts, not kept."""
+    chosen = summarised(classes.select("class", "digest").join(wanted, "class", "left_semi"), "involved")
+    ids = Sized(chosen.frame.select(F.col("class").alias("doc_id")), chosen.rows)
     texts = attach(only(documents, "doc_id", "text"), ids, ["doc_id"], "left_semi")
     sets = texts.mapInArrow(_Sets(words), "class long, digest binary, members binary")
-    sets = stored(attach(sets, wanted, ["class", "digest"], "left_semi").select("class", "members"), "sets")
-    left = sets.select(F.col("class").alias("a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("members").alias("members_b"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return summarised(attach(sets, chosen, ["class", "digest"], "left_semi").select("class", "members"), "sets")
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int, sets: Sized | None = None) -> DataFrame:
+    """Which of the stored pairs are linked, by the full sets of the two classes."""
+    sets = sets or _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), documents, classes, words)
+    met = pairs = pairs.select("a", "b")
+    for side in ("a", "b"):
+        own = sets.frame.select(F.col("class").alias(side), F.col("members").alias(f"members_{side}"))
+        met = attach(met, Sized(own, sets.rows, sets.wide), [side], keys_from=pairs)
     return stored(met.mapInArrow(_Confirm(percent), "a long, b long, linked boolean"), "confirmed")
 
 
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class once per shingle of its set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(m, np.int64) for m in part.column("members").to_pylist()]
+            owner = np.repeat(part.column("class").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets))], ["class", "shingle"])
+
+
+def _most_shared(sets: DataFrame) -> DataFrame:
+    """(class, own): how many shingles of a class no other of these classes has."""
+    spread = sets.mapInArrow(_members, "class long, shingle long")
+    alone = spread.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("high")).where("class = high")
+    return alone.groupBy("class").agg(F.count("*").alias("own"))
+
+
+def _across(spread: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, Sized]:
+    """Pairs (a, b) of classes of different components that share a key and may be linked, and the
+    sets of their classes.
+
+    A link needs an overlap of percent / (100 + percent) of the two sizes together, and two classes
+    have at most the shingles in common that are not one's alone. Copies that miss the share by
+    their own edits have too many of those: they fall here, before classes meet."""
+    open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    across = stored(attach(spread, summarised(open_keys, "open-keys"), ["key"], "left_semi").drop("shared"), "across")
+    sets = _sets_of(across.select("class").distinct(), documents, classes, words)
+    own = summarised(_most_shared(sets.frame), "own-shingles")
+    common = F.col("size") - F.coalesce("own", F.lit(0))
+    able = attach(across, own, ["class"], "left").withColumn("common", common).drop("own")
+    # the smallest size that a partner may have, of those there are under the key
+    least = summarised(able.groupBy("key").agg(F.min("size").alias("least")), "least-sizes")
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
+    able = attach(able, least, ["key"]).where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least")
+    able = stored(able, "able")
+    # a class has few keys; of those two classes share, the smallest alone brings them together
+    own_keys = summarised(able.groupBy("class").agg(F.collect_list("key").alias("keys")), "own-keys")
+    able = stored(attach(able, own_keys, ["class"]), "able-keys")
+    other = able.select("key", *(F.col(c).alias(f"other_{c}") for c in ("class", "component", "size", "common", "keys")))
+    may_link = F.expr("class < other_class AND component <> other_component")
+    may_link &= (100 + percent) * F.least("common", "other_common") >= percent * (F.col("size") + F.col("other_size"))
+    may_link &= F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
+    return able.join(other, "key").where(may_link).select(F.col("class").alias("a"), F.col("other_class").alias("b")), sets
+
+
 def _placed(classes: DataFrame, state: Sized | None) -> DataFrame:
     """Classes with their component so far."""
     if state is None:
@@ -252,9 +316,9 @@ def _popular(classes: DataFrame) -> DataFrame:
     """Classes with ``shared``: how many classes the keys of the first chunks bring each together with."""
     bare = classes.select("class", F.col("class").alias("component"), "size", F.lit(0).cast("long").alias("shared"), "signature")
     spread = bare.mapInArrow(_Keys(FIRST_CHUNKS), KEYS).select("key", "class")
-    held = counted(stored(spread.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "held"))
+    held = summarised(spread.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "held")
     shared = attach(spread, held, ["key"]).groupBy("class").agg(F.sum("held").alias("shared"))
-    met = attach(classes, counted(stored(shared, "shared")), ["class"], "left")
+    met = attach(classes, summarised(shared, "shared"), ["class"], "left")
     return stored(met.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))), "popular")
 
 
@@ -264,7 +328,7 @@ def _stars(placed: DataFrame, chunks: int) -> DataFrame:
     first = F.min(F.struct((-F.col("shared")).alias("rank"), "class", "component"))
     heads = spread.groupBy("key").agg(first.alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
     heads = heads.where("low < high").select("key", F.col("head.class").alias("head"), F.col("head.component").alias("place"))
-    met = attach(spread, counted(stored(heads, "heads")), ["key"]).where("component <> place")
+    met = attach(spread, summarised(heads, "heads"), ["key"]).where("component <> place")
     shared = met.groupBy(F.col("class").alias("b"), F.col("head").alias("a")).count()
     best = shared.groupBy("b").agg(F.min(F.struct(-F.col("count"), "a")).alias("best"))
     return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
@@ -290,27 +354,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         found = _confirmed(pairs, documents, classes, words, percent)
         tried = found if tried is None else tried.unionByName(found)
         links = tried.where("linked").select("a", "b")
-        state = counted(components(links))
+        state = sized(components(links))
 
     # what is left: pairs across components that share a key
     spread = _placed(classes, state).mapInArrow(_Keys(), KEYS)
-    open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    across = stored(attach(spread, counted(stored(open_keys, "open-keys")), ["key"], "left_semi"), "across")
-    # a class has few keys; of those two classes share, the smallest alone brings them together
-    own_keys = counted(stored(across.groupBy("class").agg(F.collect_list("key").alias("keys")), "own-keys"))
-    across = stored(attach(across.drop("shared"), own_keys, ["class"]), "across-keys")
-    other = across.select("key", *(F.col(c).alias(f"other_{c}") for c in ("class", "component", "size", "keys")))
-    may_link = F.expr("class < other_class AND component <> other_component")
-    may_link &= 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-    may_link &= F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
-    met = across.join(other, "key").where(may_link).select(F.col("class").alias("a"), F.col("other_class").alias("b"))
+    met, sets = _across(spread, documents, classes, words, percent)
     rest = met.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(_near_pairs(rest, classes).select("a", "b"), "rest")
-    last = _confirmed(rest, documents, classes, words, percent).where("linked").select("a", "b")
-    final = counted(components(links.unionByName(last)))
+    last = _confirmed(rest, documents, classes, words, percent, sets).where("linked").select("a", "b")
+    final = sized(components(links.unionByName(last)))
 
     named = attach(classes.select("digest", "class"), final, ["class"], "left").select("digest", F.coalesce("component", "class").alias("component_id"))
-    named = counted(stored(named, "named"))
+    named = summarised(named, "named")
     rows = sketches.select("doc_id", "n_shingles", "digest")
     found = attach(rows, named, ["digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
