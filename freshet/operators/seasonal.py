@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from freshet.functions.numbers import settle
 from freshet.functions.seasons import SEASONS, level_order, season_of
-from freshet.operators.order_stats import cumulate, quantiles_of, tally
+from freshet.operators.order_stats import quantiles
 from freshet.operators.sizing import Sized, attach, summarised
+from freshet.sources.workspace import stored
 
 MIN_GROUP = 3
 TOTAL_LABEL = "Total number of sites with >3 samples"
@@ -107,13 +108,11 @@ def samples_per_site_stats(
 ) -> DataFrame:
     """Mean, median, least and most rows per station."""
     per_site = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    others = {
-        "mean_n": F.sum(F.col("n") * F.col("rows")) / F.sum("rows"),
-        "min_n": F.min("n").cast("bigint"),
-        "max_n": F.max("n").cast("bigint"),
-    }
-    sizes = cumulate(tally(per_site, [], "n"), [], "n")
-    return quantiles_of(sizes, [], "n", {"median_n": 0.5}, others)
+    per_site = stored(per_site, "samples-per-site")
+    whole = per_site.agg(
+        F.avg("n").alias("mean_n"), F.min("n").cast("bigint").alias("min_n"), F.max("n").cast("bigint").alias("max_n")
+    )
+    return whole.join(F.broadcast(quantiles(per_site, [], "n", {"median_n": 0.5})), F.lit(True), "left")
 
 
 def sites_above_threshold(

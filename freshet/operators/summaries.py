@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.conditions import present
-from freshet.operators.order_stats import cumulate, quantiles_of, tally
+from freshet.operators.order_stats import quantiles
 from freshet.operators.regression import fit_lines
 from freshet.operators.sizing import attach, summarised
 from freshet.sources.workspace import stored
@@ -17,21 +17,18 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Least, quartiles, mean, greatest and missing count of each column, all
-    columns in one pass over a long form that is counted before any shuffle."""
+    """Least, quartiles, mean, greatest and missing count of each column: all columns in one long
+    form, of which only counts and partial sums are shuffled."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    counts = stored(tally(long, ["column_name"], "value"), "value-counts")
-    known = counts.where(F.col("value").isNotNull())
-    placed = cumulate(known, ["column_name"], "value")
-    quartiles = quantiles_of(placed, ["column_name"], "value", QUARTILES)
-    weight = F.when(F.col("value").isNotNull(), F.col("rows"))
-    rest = counts.groupBy("column_name").agg(
-        F.min("value").alias("minimum"),
-        F.try_divide(F.sum(F.col("value") * F.col("rows")), F.sum(weight)).alias("mean"),
-        F.max("value").alias("maximum"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("missing"),
+    quartiles = quantiles(long, ["column_name"], "value", QUARTILES)
+    known = present(F.col("value"))
+    rest = long.groupBy("column_name").agg(
+        F.min(known).alias("minimum"),
+        F.avg(known).alias("mean"),
+        F.max(known).alias("maximum"),
+        F.count_if(known.isNull()).alias("missing"),
     )
     return rest.join(quartiles, "column_name", "left")
 
@@ -51,18 +48,17 @@ def boxplot_stats(
     rows = df.where(present(v).isNotNull())
     if value_range is not None:
         rows = rows.where(v.between(*value_range))
-    placed = stored(cumulate(tally(rows, keys, value), keys, value), "placed-values")
-    hinges = summarised(quantiles_of(placed, keys, value, QUARTILES), "hinges")
+    hinges = summarised(quantiles(rows, keys, value, QUARTILES), "hinges")
     step = (F.col("q3") - F.col("q1")) * reach
     inside = v.between(F.col("q1") - step, F.col("q3") + step)
     return (
-        attach(placed, hinges, keys)
+        attach(rows.select(*keys, value), hinges, keys)
         .groupBy(*keys, *QUARTILES)
         .agg(
             F.min(F.when(inside, v)).alias("lower_whisker"),
             F.max(F.when(inside, v)).alias("upper_whisker"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("rows"))).alias("outliers"),
-            F.sum("rows").alias("n"),
+            F.count_if(~inside).alias("outliers"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
 

@@ -1,6 +1,7 @@
 """Operators on small tables where the answer is worked out by hand or brute force."""
 
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -74,6 +75,31 @@ def test_fine_bands_give_the_same_ranks(spark, monkeypatch):
     assert coarse == fine
 
 
+@pytest.mark.parametrize("rows_per_band", [1_000_000, 3])
+def test_positions_in_narrow_tied_and_mixed_groups(spark, monkeypatch, rows_per_band):
+    """Groups inside a millionth of their value, all alike, of both signs, and with missing values."""
+    monkeypatch.setattr(order_stats, "ROWS_PER_BAND", rows_per_band)
+    monkeypatch.setattr(order_stats, "SUBBANDS", 4)
+    draw = random.Random(4)
+    values = {
+        "narrow": [1e6 + draw.random() * 1e-3 for _ in range(60)], "tied": [2.5] * 30 + [2.6] * 2, "one": [7.0],
+        "signs": [draw.uniform(-1, 1) for _ in range(41)] + [0.0, -0.0, 1e-300, -1e300], "gaps": [1.0, None, 3.0, float("nan")], "none": [None],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(5)
+    got = {r.k: r for r in quantiles(df, ["k"], "v", {"low": 0.0, "q1": 0.25, "p37": 0.37, "high": 1.0}).collect()}
+    for k, vs in values.items():
+        known = sorted(v for v in vs if v is not None and v == v)
+        if not known:
+            assert k not in got
+            continue
+        for name, p in (("low", 0.0), ("q1", 0.25), ("p37", 0.37), ("high", 1.0)):
+            at = (len(known) - 1) * p
+            low, high = known[math.floor(at)], known[math.ceil(at)]
+            assert got[k][name] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-15)
+    alone = quantiles(df.where("k = 'narrow'"), [], "v", {"median": 0.5}).collect()
+    assert len(alone) == 1 and alone[0].median == pytest.approx(statistics.median(values["narrow"]), rel=1e-15)
+
+
 def test_quantiles_against_brute_force(spark):
     rng = random.Random(7)
     groups = {k: [rng.choice([rng.gauss(0, 10), 1.0]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 101))}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet.bindings import registry
 from freshet.bindings.views import view
 from freshet.operators import cleaning, flow, matching, regression
+from freshet.operators.order_stats import quantiles
 from freshet.operators.sizing import attach, counted, hot_keys
 from tests.conftest import SF
 
@@ -60,6 +61,17 @@ def test_above_the_limit_only_hot_keys_are_repeated(spark, capsys):
     assert copies == 5001 + found.first()["_parts"] - 1
 
 
+def test_values_outside_wanted_bands_do_not_move(spark, capsys, tmp_path):
+    """Rows meet their group's wanted bands in the scan's own stage; what an exchange gets was counted before."""
+    path = str(tmp_path / "values")
+    spark.range(100_000, numPartitions=4).select((F.col("id") % 7).alias("k"), (F.col("id") + 1.5).alias("v")).write.parquet(path)
+    plan = plan_of(quantiles(spark.read.parquet(path), ["k"], "v", {"q1": 0.25, "q3": 0.75}), capsys)
+    tree = plan[: plan.index("\n\n\n")].splitlines()
+    moved = [k for k, line in enumerate(tree) if re.search(r"[- ]Exchange \(", line)]
+    assert moved and all("Aggregate" in tree[k + 1] or "Union" in tree[k + 1] for k in moved)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_topk_keeps_k_rows_per_task(spark, capsys):
     assert "TakeOrderedAndProject" in plan_of(matching.top_importance(view(spark, SF, "predictors")), capsys)
 
