@@ -645,6 +645,47 @@ def _(spark, sf):
     return attributes.bundle_join(parts, area=view(spark, sf, "bundle_area"))
 
 
+BUNDLE_SCHEMAS = {
+    "order": "comid bigint, price double, WsAreaSqKm double, priority_length int",
+    "lines": "comid bigint, line_count bigint, quantity_max double, WsAreaSqKm double",
+    "returns": "comid bigint, discount_max double, tax_min double",
+    "area": "comid bigint, WsAreaSqKm double",
+}
+
+
+@register("scan_bundle", BUNDLE_SQL, "price,quantity_max,discount_max,tax_min,WsAreaSqKm", "priority_length,line_count")
+def _(spark, sf):
+    """From files: written as text, read by their schemas, bucketed together once, joined without exchange."""
+    paths = [fresh_path(spark, f"bundle-{name}") for name in BUNDLE_SCHEMAS]
+    for name, path in zip(BUNDLE_SCHEMAS, paths, strict=True):
+        sinks.write_csv(other_layout(view(spark, sf, f"bundle_{name}")), path)
+    *parts, area = attributes.co_bucketed(readers.read_bundle(spark, paths, list(BUNDLE_SCHEMAS.values())))
+    return attributes.bundle_join(parts, area=area)
+
+
+@register(
+    "null_over_limit",
+    " union all ".join(
+        f"select * from (select '{c}' as column_name, avg(case when {c} is null then 1e0 else 0e0 end) as null_share "
+        "from features) as share where null_share > 0.1"
+        for c in ("row_id", "target", "f1", "f2", "f3", "temp1", "zero1", "sparse1", "planted")
+    ),
+    "null_share",
+)
+def _(spark, sf):
+    return attributes.null_fraction_by_column(features(spark, sf), above=0.1)
+
+
+@register(
+    "recode_label",
+    "select predictor, importance, case predictor when 'Tile_density' then 'Tile density' else predictor end as label from predictors",
+    "importance",
+)
+def _(spark, sf):
+    names = view(spark, sf, "predictors").withColumn("label", F.col("predictor"))
+    return matching.recode(names, "label", "Tile_density", "Tile density")
+
+
 @register(
     "null_fraction_by_column",
     " union all ".join(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from freshet.functions.conditions import flag
 from freshet.functions.labels import pad_station
 from freshet.operators.sizing import Sized, attach, summarised
+from freshet.sources.workspace import fresh_path
 
 # Area and coverage columns repeated in every attribute table.
 REDUNDANT = (
@@ -41,6 +42,26 @@ def bundle_join(
     return joined if area is None else joined.join(area, key)
 
 
+def co_bucketed(tables: Sequence[DataFrame], key: str = "comid", buckets: int | None = None) -> list[DataFrame]:
+    """Tables written once, each bucketed and sorted by ``key`` into the same number of buckets, so
+    that they join bucket by bucket without an exchange, now and whenever they are read again.
+
+    The files are in the shared folder; ``buckets`` is the number of shuffle partitions unless given.
+    """
+    if not tables:
+        return []
+    spark = tables[0].sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = []
+    for table in tables:
+        path = fresh_path(spark, "bucketed")
+        name = "bucketed_" + path.rsplit("-", 1)[1]
+        dealt = table.repartition(buckets, key)  # one file per bucket
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        written.append(spark.table(name))
+    return written
+
+
 def gage_table(raw: DataFrame) -> DataFrame:
     """Gage ids padded to text, catchment key and area; the site name is left out."""
     return raw.select(

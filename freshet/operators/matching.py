@@ -14,6 +14,32 @@ PLACEHOLDERS = (r"\[Year\]", r"\[AOI\]")
 SPATIAL_UNIT = "Cat|Ws"
 # Characters with no special meaning in a regular expression.
 _PLAIN = r"^[A-Za-z0-9_ %,:;@#/=<>~&'\"!-]*$"
+#: Characters of a required literal that are looked up; a longer one is looked up by its first.
+LOOKED_UP = 12
+#: Lists over which patterns without a required literal are split.
+LISTS = 16
+_BREAK = "\u0001"
+#: Groups inside groups that are looked through; deeper ones leave a pattern without literal.
+GROUP_DEPTH = 6
+_LIST = "\u0000list "
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a regular expression holds, as far as its plain parts tell.
+
+    Escapes, classes, groups and whatever a quantifier makes optional count as unknown; they become
+    breaks, and the longest stretch between breaks is the literal. Flags, quotations and classes
+    inside classes may change what letters mean: such a pattern has none, nor has one with
+    alternatives outside groups."""
+    odd = pattern.rlike(r"\(\?|\\Q|\[[^\]]*\[")
+    text = F.regexp_replace(pattern, r"\\.", _BREAK)
+    text = F.regexp_replace(text, r"\[\^?\]?[^\]]*\]", _BREAK)
+    for _ in range(GROUP_DEPTH):
+        text = F.regexp_replace(text, r"\([^()]*\)", _BREAK)
+    text = F.regexp_replace(text, r".(?:[?*]|\{[^}]*\})", _BREAK)
+    stretches = F.split(text, rf"[{_BREAK}.^$+*?{{}}\[\]]+")
+    longest = F.array_max(F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), s.alias("text"))))["text"]
+    return F.when(odd | text.rlike(r"[|()]"), F.lit("")).otherwise(longest)
 
 
 def metric_patterns(definitions: DataFrame) -> DataFrame:
@@ -39,22 +65,29 @@ def _pieces(text: Column, lengths: Sequence[int]) -> Column:
 def matching_definitions(names: DataFrame, patterns: Sized) -> DataFrame:
     """Pairs where a name contains a match of a definition's pattern.
 
-    A plain-text pattern matches where it occurs as a substring, so names are
-    joined on their substrings of the lengths in use: an equality join emitting
-    true matches only. A pattern with regular-expression syntax has no substring
-    to look up; it is keyed by the empty text, which every name has, and tested.
+    A plain-text pattern matches where it occurs as a substring, so names are joined on their
+    substrings of the lengths in use: an equality join emitting true matches only. A pattern with
+    regular-expression syntax is looked up by a literal that each of its matches holds, and tested
+    on the names that have it. Patterns without such a literal are dealt to a few lists; only they
+    are tested on every name.
     """
-    keyed = patterns.frame.withColumn(
-        "_piece", F.when(F.col("pattern").rlike(_PLAIN), F.col("pattern")).otherwise(F.lit(""))
-    )
-    measured = keyed.agg(F.sort_array(F.collect_set(F.length("_piece"))).alias("lengths")).first()
-    lengths = [n for n in measured["lengths"] if n > 0]
-    own = _pieces(F.col("predictor"), lengths) if lengths else F.array().cast("array<string>")
-    pieces = names.withColumn("_piece", F.explode(F.concat(own, F.array(F.lit("")))))
+    plain = F.col("pattern").rlike(_PLAIN) & (F.col("pattern") != "")
+    literal = F.when(plain, F.col("pattern")).otherwise(F.substring(required_literal(F.col("pattern")), 1, LOOKED_UP))
+    listed = F.concat(F.lit(_LIST), F.pmod(F.xxhash64("pattern"), F.lit(LISTS)).cast("string"))
+    keyed = patterns.frame.withColumns({"_exact": plain, "_literal": literal})
+    keyed = summarised(keyed.withColumn("_piece", F.when(F.col("_literal") != "", F.col("_literal")).otherwise(listed)).drop("_literal"), "keyed-patterns")
+    is_list = F.col("_piece").startswith(_LIST)
+    measured = keyed.frame.agg(
+        F.sort_array(F.collect_set(F.when(~is_list, F.length("_piece")))).alias("lengths"),
+        F.sort_array(F.collect_set(F.when(is_list, F.col("_piece")))).alias("lists"),
+    ).first()
+    own = _pieces(F.col("predictor"), measured["lengths"]) if measured["lengths"] else F.array().cast("array<string>")
+    lists = F.array(*[F.lit(name) for name in measured["lists"]]).cast("array<string>")
+    pieces = names.withColumn("_piece", F.explode(F.concat(own, lists)))
     return (
-        attach(pieces, Sized(keyed, patterns.rows), ["_piece"])
-        .where((F.col("_piece") != "") | F.expr("rlike(predictor, pattern)"))
-        .drop("_piece")
+        attach(pieces, keyed, ["_piece"])
+        .where(F.col("_exact") | F.expr("rlike(predictor, pattern)"))
+        .drop("_piece", "_exact")
     )
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -75,6 +76,36 @@ def test_fine_bands_give_the_same_ranks(spark, monkeypatch):
     assert coarse == fine
 
 
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [
+        ("Pct.*Crop", "Crop"), ("abc", "abc"), ("ab?cde", "cde"), ("a|bcd", ""), ("(ab|cd)efg", "efg"), ("[abc]xyz[^]z]q", "xyz"),
+        (r"a\.b\d+cc", "cc"), ("[a[b]c]d", ""), ("ab+?cd+", "cd"), ("((((((((a))))))))b", ""), ("ab+cd", "cd"), ("x{2,3}yy", "yy"), ("(?i)abc", ""), ("(a(b)c)d", "d"), (".*", ""), ("", ""),
+        ("ab*", "a"), (r"\bword\b", "word"), ("a{0}bc", "bc"), (r"\Qa.b\E", ""),
+    ],
+)
+def test_required_literal(spark, pattern, literal):
+    one = spark.createDataFrame([(pattern,)], "p string")
+    assert one.select(matching.required_literal(F.col("p"))).first()[0] == literal
+
+
+def test_regex_patterns_meet_only_names_with_their_literal(spark):
+    patterns = ["Crop.*Ws", "^P[a-z]+t$", "Crop", "[0-9]{4}", "Tile|Ditch", "Soil", ".*", "no+pe", ""]
+    names = ["PctCrop2010Ws", "CropCat", "Plant", "Tile_1", "Ditch", "Soil", "nooope", "", "x" * 30]
+    definitions = spark.createDataFrame([(p, f"d{k}") for k, p in enumerate(patterns)], "pattern string, description string")
+    table = spark.createDataFrame([(n, 1.0) for n in names], "predictor string, importance double")
+    got = {(r.predictor, r.pattern) for r in matching.matching_definitions(table, summarised(definitions, "p")).collect()}
+    assert got == {(n, p) for n in names for p in patterns if re.search(p, n)}
+
+
+def test_many_names_and_patterns(spark):
+    """1e5 names and 1e3 patterns with regular-expression syntax: rows met are those with the literal."""
+    names = spark.range(100_000).select(F.concat(F.lit("name"), F.col("id"), F.lit("end")).alias("predictor"), F.lit(1.0).alias("importance"))
+    patterns = spark.range(1000).select(F.concat(F.lit("^name"), 90_000 + F.col("id"), F.lit("[a-z]+$")).alias("pattern"), F.lit("d").alias("description"))
+    found = matching.matching_definitions(names, summarised(patterns, "p"))
+    assert found.count() == 1000 and found.select("predictor").distinct().count() == 1000
+
+
 @pytest.mark.parametrize("rows_per_band", [1_000_000, 3])
 def test_positions_in_narrow_tied_and_mixed_groups(spark, monkeypatch, rows_per_band):
     """Groups inside a millionth of their value, all alike, of both signs, and with missing values."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.bindings import registry
 from freshet.bindings.views import view
-from freshet.operators import cleaning, flow, matching, regression
+from freshet.operators import attributes, cleaning, flow, matching, regression
 from freshet.operators.order_stats import quantiles
 from freshet.operators.sizing import attach, counted, hot_keys
 from tests.conftest import SF
@@ -72,6 +72,16 @@ def test_values_outside_wanted_bands_do_not_move(spark, capsys, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_co_bucketed_tables_join_without_exchange(spark, capsys):
+    tables = [spark.range(1000).select((F.col("id") * k % 1000).alias("comid"), F.lit(k).alias(f"v{k}")) for k in (1, 3, 7)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(attributes.bundle_join(attributes.co_bucketed(tables, buckets=4)), capsys)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") >= 2 and "Exchange" not in plan
+
+
 def test_topk_keeps_k_rows_per_task(spark, capsys):
     assert "TakeOrderedAndProject" in plan_of(matching.top_importance(view(spark, SF, "predictors")), capsys)
 
