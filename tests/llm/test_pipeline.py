@@ -25,7 +25,7 @@ def test_stages(spark):
     single = stored(pipeline.drop_near_duplicates(spark, good, SF), "t2")
     rows = [(i, before[i].text, None) for i in sorted(kept)]
     assert single.columns == columns
-    assert {r.doc_id for r in single.collect()} == {i for i, _, c in plain_components(rows, 5, 80) if i == c}
+    assert {r.doc_id for r in single.collect()} == {i for i, _, c in plain_components(rows, pipeline.NEAR_WORDS, 80) if i == c}
 
     clean = stored(pipeline.drop_benchmark(spark, single, SF), "t3")
     assert clean.columns == columns
