@@ -16,7 +16,10 @@ confirmed on the full sets and joined to components, first with the keys of two
 then with all keys that still hold two components. At last every two classes of a key
 that lie in different components, and whose sizes allow a link, are tried, so no link is
 lost. Before that, a class whose own shingles (in no other class that is left) rule out every
-link falls: those are the copies that edits of their own took just below the share.
+link falls: those are the copies that edits of their own took just below the share. And two
+classes are only held against each other where what they lack of their key's head agrees
+well enough: copies of one text that were edited in different places are told apart by
+comparing two bitmaps, without a row for the pair.
 
 Components are smallest ids spread along links with shortcuts until nothing changes,
 every state being a stored table.
@@ -30,11 +33,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import only, records, ship
@@ -276,30 +280,66 @@ def _most_shared(sets: DataFrame) -> DataFrame:
     return alone.groupBy("class").agg(F.count("*").alias("own"))
 
 
+#: Words of 64 bits of a bitmap, and their names.
+BITMAP = tuple(f"missing_{k}" for k in range(4))
+
+
+def _missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class and head, a bitmap of the head's shingles that the class does not have, by their hash."""
+    names = ["class", "head", *BITMAP]
+    for batch in batches:
+        out = []
+        for one, head, members, heads in records([batch], *batch.schema.names, step=64):
+            gone = np.setdiff1d(np.frombuffer(heads, np.uint64), np.frombuffer(members, np.uint64), assume_unique=True)
+            bits = np.zeros(64 * len(BITMAP), np.uint8)
+            bits[(gone % np.uint64(len(bits))).astype(np.int64)] = 1
+            out.append((one, head, *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+
+def _apart(mine: str, theirs: str) -> Column:
+    """At least so many of the head's shingles the one has and the other lacks."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(theirs + c).bitwiseAND(F.bitwise_not(F.col(mine + c)))) for c in BITMAP))
+
+
 def _across(spread: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, Sized]:
     """Pairs (a, b) of classes of different components that share a key and may be linked, and the
     sets of their classes.
 
-    A link needs an overlap of percent / (100 + percent) of the two sizes together, and two classes
-    have at most the shingles in common that are not one's alone. Copies that miss the share by
-    their own edits have too many of those: they fall here, before classes meet."""
+    A link needs an overlap of percent / (100 + percent) of the two sizes together. What two classes
+    have in common is at most the shingles of the one that some other class has too, less those of
+    the key's head that it has and the other lacks. Copies that miss the share by edits of their own
+    fall by the first, before classes meet; pairs of copies edited in different places by the second,
+    which compares bitmaps of what each lacks of the head."""
     open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    across = stored(attach(spread, summarised(open_keys, "open-keys"), ["key"], "left_semi").drop("shared"), "across")
+    across = stored(attach(spread, summarised(open_keys, "open-keys"), ["key"], "left_semi"), "across")
     sets = _sets_of(across.select("class").distinct(), documents, classes, words)
     own = summarised(_most_shared(sets.frame), "own-shingles")
     common = F.col("size") - F.coalesce("own", F.lit(0))
     able = attach(across, own, ["class"], "left").withColumn("common", common).drop("own")
-    # the smallest size that a partner may have, of those there are under the key
-    least = summarised(able.groupBy("key").agg(F.min("size").alias("least")), "least-sizes")
+    # the smallest size that a partner may have, of those there are under the key; and the key's head
+    first = F.min(F.struct((-F.col("shared")).alias("rank"), "class"))["class"].alias("head")
+    least = summarised(able.groupBy("key").agg(F.min("size").alias("least"), first), "least-sizes")
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
-    able = attach(able, least, ["key"]).where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least")
+    able = attach(able, least, ["key"]).where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least", "shared")
     able = stored(able, "able")
+    refs = stored(able.select("class", "head").distinct(), "references")
+    met = refs
+    for side in ("class", "head"):
+        members = sets.frame.select(F.col("class").alias(side), F.col("members").alias(f"{side}_members"))
+        met = attach(met, Sized(members, sets.rows, sets.wide), [side], keys_from=refs)
+    lacks = met.select("class", "head", "class_members", "head_members").mapInArrow(_missing, "class long, head long, " + ", ".join(f"{c} long" for c in BITMAP))
+    # all shingles of a head count as shared: what others lack of it takes its own ones off as well
+    base = F.when(F.col("class") == F.col("head"), F.col("size")).otherwise(F.col("common"))
+    able = attach(able, summarised(lacks, "missing"), ["class", "head"]).withColumn("common", base).drop("head")
     # a class has few keys; of those two classes share, the smallest alone brings them together
     own_keys = summarised(able.groupBy("class").agg(F.collect_list("key").alias("keys")), "own-keys")
     able = stored(attach(able, own_keys, ["class"]), "able-keys")
-    other = able.select("key", *(F.col(c).alias(f"other_{c}") for c in ("class", "component", "size", "common", "keys")))
+    other = able.select("key", *(F.col(c).alias(f"other_{c}") for c in ("class", "component", "size", "common", *BITMAP, "keys")))
+    most = F.least(F.col("common") - _apart("", "other_"), F.col("other_common") - _apart("other_", ""))
     may_link = F.expr("class < other_class AND component <> other_component")
-    may_link &= (100 + percent) * F.least("common", "other_common") >= percent * (F.col("size") + F.col("other_size"))
+    may_link &= (100 + percent) * most >= percent * (F.col("size") + F.col("other_size"))
     may_link &= F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
     return able.join(other, "key").where(may_link).select(F.col("class").alias("a"), F.col("other_class").alias("b")), sets
 
