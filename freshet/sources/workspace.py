@@ -6,6 +6,7 @@ machine-local folder is only ever used when the master itself is local.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Free the disk that finished steps still hold. Their shuffle files stay on the executors until
+    the driver has collected the objects that stand for them, which may be long after; a job of many
+    large steps asks for it between them. What is still referenced is not touched."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
