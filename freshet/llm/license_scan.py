@@ -51,7 +51,11 @@ SENTENCES = {
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "mpl2-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl2-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "version-2-0": ["2.0"],
+    "lgpl3-line": ["This work is licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License, version 3"],
+    "agpl3-line": ["This work is licensed under the GNU Affero General Public License, version 3", "Licensed under the GNU Affero General Public License, version 3"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "cc-by-line": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-line": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc-line": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -73,7 +77,10 @@ RULES = (
     ("GPL-2.0-only", ("gpl2-line",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("MPL-2.0", ("mpl2-line",)),
+    ("MPL-2.0", ("mpl2-line", "version-2-0")),
+    ("LGPL-3.0-only", ("lgpl3-line",)),
+    ("AGPL-3.0-only", ("agpl3-line",)),
+    ("ISC", ("isc-grant",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-line",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-line",)),
     ("CC-BY-4.0", ("cc-by-line",)),
@@ -88,14 +95,16 @@ def normalised(sentence: str) -> str:
 
 
 def table_of(sentences: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """Normal form to identifier; a known text is cut like any other first."""
-    return {
-        normalised(part): name
-        for name, texts in sentences.items()
-        for text in texts
-        for part in re.split(ENDS.replace(r"\z", r"\Z"), text)
-        if normalised(part)
-    }
+    """Normal form to identifier. A known sentence is one: what a text's cuts would take apart (as the
+    ``v.`` of a version) has an identifier for each part, and a rule that needs them in a row."""
+    table = {}
+    for name, texts in sentences.items():
+        for text in texts:
+            parts = [p for part in re.split(ENDS.replace(r"\z", r"\Z"), text) if (p := normalised(part))]
+            if len(parts) != 1:
+                raise ValueError(f"{name}: {text!r} is {len(parts)} sentences")
+            table[parts[0]] = name
+    return table
 
 
 def lines_of(text: Column) -> Column:

@@ -196,6 +196,16 @@ def test_license_rules(spark):
     assert license_scan.scan_licenses(documents(spark, ODD)).count() == len(ODD)
 
 
+def test_a_version_number_alone_states_no_license(spark):
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed with this file, look around."
+    rows = [(10, "2.0", "a"), (11, "Release notes\n2.0\nMozilla", "a"), (12, notice, "a"), (13, "/* " + notice.replace("License, v", "License,\n * v") + " */", "a")]
+    found = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert {i: r.licenses for i, r in found.items()} == {10: "", 11: "", 12: "MPL-2.0", 13: "MPL-2.0"}
+    assert found[12].sentence_ids == "mpl2-line,version-2-0" and found[12].n_unmatched == 0
+    with pytest.raises(ValueError, match="2 sentences"):
+        license_scan.table_of({"x": ["One. Two"]})
+
+
 def test_license_sentences_wrapped_over_lines(spark):
     import textwrap
 
