@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import only, records, ship
-from freshet.sources.workspace import stored
+from freshet.sources.workspace import give_back, stored
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -472,6 +472,7 @@ def train(documents: DataFrame, held_out: Column, order: int = ORDER) -> Trained
         nonlocal have
         back, table = exchange(asking, what, tokens, name)
         have = have.join(back.withColumnRenamed("parts", f"a{len(have.columns) - len(chunks.columns)}"), "chunk")
+        give_back(documents.sparkSession)  # what the chunks sent is in the stored answers now
         return table
 
     for k in range(1, order + 1):
