@@ -25,6 +25,7 @@ space; blocks are joined by a line feed in page order; repeated rows are answere
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -112,6 +113,9 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         #: tag, whether its kind or role is outer, whether its name is, whether it is inner, and how many names it sets aside
         self.open: list[tuple[str, bool, bool, bool, int]] = []
+        #: where in ``open`` each tag's elements are, and those of all block tags
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.block_places: list[int] = []
         self.words: list[str] = []
         self.linked = self.silent = self.outer = self.named = self.inner = self.links = 0
         self.heading = False
@@ -149,6 +153,9 @@ class Blocks(HTMLParser):
         # an article's own header holds its headings
         if tag == "header" and self.inner and not self.outer + self.named:
             outer = named = False
+        self.places[tag].append(len(self.open))
+        if tag in BLOCK_TAGS:
+            self.block_places.append(len(self.open))
         self.open.append((tag, outer, named, inner, aside))
         self.outer += outer
         self.named += named - aside
@@ -158,16 +165,16 @@ class Blocks(HTMLParser):
 
     def close_within(self, tags: set[str]) -> None:
         """End an element of these tags that is open inside the innermost other block."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                self.close_from(at)
-                return
-            if self.open[at][0] in BLOCK_TAGS:
-                return
+        at = max((self.places[tag][-1] for tag in tags if self.places[tag]), default=-1)
+        if at >= max(0, self.block_places[-1] if self.block_places else 0):
+            self.close_from(at)
 
     def close_from(self, at: int) -> None:
         self.end_if_block(self.open[at:])
         for tag, outer, named, inner, aside in self.open[at:]:
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.block_places.pop()
             self.outer -= outer
             self.named -= named - aside
             self.inner -= inner
@@ -183,10 +190,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.close_from(at)
-                return
+        if self.places[tag]:
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -224,15 +229,16 @@ def revise(kinds: list[str], blocks: list[Block]) -> list[bool]:
     an open one takes what its nearest decided neighbours share, and stays out if they differ and
     it is outside the article."""
 
-    def nearest(at: int, step: int) -> str:
-        at += step
-        while 0 <= at < len(kinds):
-            if kinds[at] in ("good", "bad"):
-                return kinds[at]
-            at += step
-        return "bad"
+    def decided(kinds: Iterable[str]) -> list[str]:
+        """For each block the decision nearest before it, in the order given."""
+        last, found = "bad", []
+        for kind in kinds:
+            found.append(last)
+            if kind in ("good", "bad"):
+                last = kind
+        return found
 
-    sides = [(nearest(k, -1), nearest(k, 1)) for k in range(len(kinds))]
+    sides = zip(decided(kinds), reversed(decided(reversed(kinds))), strict=True)
     out = []
     for kind, block, (before, after) in zip(kinds, blocks, sides, strict=True):
         if kind in ("good", "bad"):

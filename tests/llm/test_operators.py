@@ -230,6 +230,21 @@ def test_license_sentences_wrapped_over_lines(spark):
     assert [found[i].sentence_ids for i in (15, 16, 17)] == ["mit-grant", "", "apache2-copy"]
 
 
+def test_time_of_long_pages_grows_with_their_length():
+    import time
+
+    def taken(html):
+        best = 1e9
+        for _ in range(3):
+            start = time.process_time()
+            html_text.main_text(html)
+            best = min(best, time.process_time() - start)
+        return best
+
+    for page in ("<p>one short block".__mul__, "<span>a</b>".__mul__, "<div><a>x</i></p>".__mul__):
+        assert taken(page(16_000)) < 10 * taken(page(4_000)) + 0.05
+
+
 # 5: pages
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><p>{run}</p></header><nav><a href=x>one</a></nav>
