@@ -45,7 +45,7 @@ from freshet.llm.common import only, records, ship
 from freshet.llm.katz import mixed
 from freshet.operators import sizing
 from freshet.operators.sizing import Sized, summarised
-from freshet.sources.workspace import stored
+from freshet.sources.workspace import give_back, stored
 
 SYMBOLS, CHUNK = 60, 5
 #: Each of the chunks may hold one wrong symbol and some chunk must: 2 * 12 - 1.
@@ -53,8 +53,8 @@ MOST_WRONG = 2 * (SYMBOLS // CHUNK) - 1
 #: Words whose documents are sketched together.
 BATCH_WORDS = 500_000
 #: Tables up to this many bytes are broadcast. A run has some thirty of them, and the driver holds
-#: each until its garbage is collected.
-BROADCAST_BYTES = 4 * 1024 * 1024
+#: each until its garbage is collected, which is asked for between steps.
+BROADCAST_BYTES = 24 * 1024 * 1024
 
 
 def attach(fact: DataFrame, table: Sized, on: list[str], how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
@@ -314,6 +314,7 @@ def _across(spread: DataFrame, documents: DataFrame, classes: DataFrame, words:
     which compares bitmaps of what each lacks of the head."""
     open_keys = spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     across = stored(attach(spread, summarised(open_keys, "open-keys"), ["key"], "left_semi"), "across")
+    give_back(spread.sparkSession)
     sets = _sets_of(across.select("class").distinct(), documents, classes, words)
     own = summarised(_most_shared(sets.frame), "own-shingles")
     common = F.col("size") - F.coalesce("own", F.lit(0))
@@ -359,6 +360,7 @@ def _popular(classes: DataFrame) -> DataFrame:
     held = summarised(spread.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "held")
     shared = attach(spread, held, ["key"]).groupBy("class").agg(F.sum("held").alias("shared"))
     met = attach(classes, summarised(shared, "shared"), ["class"], "left")
+    give_back(classes.sparkSession)
     return stored(met.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))), "popular")
 
 
@@ -379,7 +381,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     Documents are linked whose sets of ``words``-word shingles have ``percent`` or more of their
     union in common."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     sketches = stored(only(documents, "doc_id", "text").mapInArrow(_Sketch(words), SKETCHES), "sketches")
     there = sketches.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     size = F.min("n_shingles").alias("size")
@@ -391,18 +394,22 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         if tried is not None:
             new = new.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(_near_pairs(new, classes).select("a", "b"), "stars")
+        give_back(spark)
         found = _confirmed(pairs, documents, classes, words, percent)
         tried = found if tried is None else tried.unionByName(found)
         links = tried.where("linked").select("a", "b")
         state = sized(components(links))
+        give_back(spark)
 
     # what is left: pairs across components that share a key
     spread = _placed(classes, state).mapInArrow(_Keys(), KEYS)
     met, sets = _across(spread, documents, classes, words, percent)
+    give_back(spark)
     rest = met.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(_near_pairs(rest, classes).select("a", "b"), "rest")
     last = _confirmed(rest, documents, classes, words, percent, sets).where("linked").select("a", "b")
     final = sized(components(links.unionByName(last)))
+    give_back(spark)
 
     named = attach(classes.select("digest", "class"), final, ["class"], "left").select("digest", F.coalesce("component", "class").alias("component_id"))
     named = summarised(named, "named")
