@@ -54,7 +54,7 @@ MOST_WRONG = 2 * (SYMBOLS // CHUNK) - 1
 BATCH_WORDS = 500_000
 #: Tables up to this many bytes are broadcast. A run has some thirty of them, and the driver holds
 #: each until its garbage is collected, which is asked for between steps.
-BROADCAST_BYTES = 24 * 1024 * 1024
+BROADCAST_BYTES = sizing.BROADCAST_BYTES
 
 
 def attach(fact: DataFrame, table: Sized, on: list[str], how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
