@@ -34,6 +34,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import batched, groupby, product
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,8 @@ MOST_WRONG = 2 * (SYMBOLS // CHUNK) - 1
 #: Words whose documents are sketched together.
 BATCH_WORDS = 500_000
 #: Tables up to this many bytes are broadcast. A run has some thirty of them, and the driver holds
-#: each until its garbage is collected, which is asked for between steps.
-BROADCAST_BYTES = sizing.BROADCAST_BYTES
+#: each until its garbage is collected, which is asked for between steps. Signatures and sets never are.
+BROADCAST_BYTES = 16 << 20
 
 
 def attach(fact: DataFrame, table: Sized, on: list[str], how: str = "inner", keys_from: DataFrame | None = None) -> DataFrame:
@@ -174,16 +176,24 @@ class _Keys:
                 yield pa.RecordBatch.from_arrays(columns, ["key", *CARRIED])
 
 
+def _both(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple]:
+    """Pairs (a, b) whose rows stand together, with ``column`` of either side; classes that share an id are met one by one."""
+    for (a, b), rows in groupby(records(batches, "a", "b", "side", column, step=64), itemgetter(0, 1)):
+        sides = ([], [])
+        for _, _, side, value in rows:
+            sides[side].append(value)
+        yield from ((a, b, x, y) for x, y in product(*sides))
+
+
 def _wrong(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures are near enough, with how many symbols are wrong."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("signature_a", "signature_b"))
-            wrong = (a != b).sum(axis=1)
-            near = pa.array(wrong <= MOST_WRONG)
-            columns = [part.column("a").filter(near), part.column("b").filter(near), pa.array(wrong, pa.int32()).filter(near)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "wrong"])
+    for part in batched(_both(batches, "signature"), 4096):
+        a, b, *own = zip(*part, strict=True)
+        one, two = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SYMBOLS) for x in own)
+        wrong = (one != two).sum(axis=1)
+        near = pa.array(wrong <= MOST_WRONG)
+        columns = [pa.array(a).filter(near), pa.array(b).filter(near), pa.array(wrong, pa.int32()).filter(near)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "wrong"])
 
 
 @dataclass(frozen=True)
@@ -204,7 +214,7 @@ class _Confirm:
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for a, b, x, y in records(batches, "a", "b", "members_a", "members_b", step=64):
+        for a, b, x, y in _both(batches, "members"):
             one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(one, two, assume_unique=True))
             out.append((a, b, 100 * common >= self.percent * (len(one) + len(two) - common)))
@@ -234,14 +244,24 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _met(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each stored pair (a, b), next to each other, what ``rows`` (class and a wide column) has of both classes.
+
+    The pairs are brought to the classes, as narrow rows, and only what is in a pair moves on, once per pair and to
+    a task chosen by the pair: the wide rows are never broadcast, and a class in many pairs loads no single task."""
+    end = F.explode(F.array(*(F.struct(F.col(c).alias("class"), F.lit(k).alias("side")) for k, c in enumerate("ab"))))
+    ends = Sized(pairs.select("a", "b", end.alias("end")).select("a", "b", "end.*"), 2 * pairs.count())
+    if ends.bytes_in_memory <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(ends.frame), "class")
+    else:  # of the pairs' classes some may be hot
+        met = sizing.attach(ends.frame, sized(rows), ["class"], limit=0)
+    return met.drop("class").repartition("a", "b").sortWithinPartitions("a", "b")
+
+
 def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures differ in at most MOST_WRONG symbols."""
-    known = sized(classes)
-    met = pairs
-    for side in ("a", "b"):
-        own = classes.select(F.col("class").alias(side), F.col("signature").alias(f"signature_{side}"))
-        met = attach(met, Sized(own, known.rows, 2 * SYMBOLS * known.rows), [side], keys_from=pairs)
-    return met.select("a", "b", "signature_a", "signature_b").mapInArrow(_wrong, "a long, b long, wrong int")
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    return _met(pairs, classes.select("class", "signature")).mapInArrow(_wrong, "a long, b long, wrong int")
 
 
 def _sets_of(wanted: DataFrame, documents: DataFrame, classes: DataFrame, words: int) -> Sized:
@@ -256,11 +276,7 @@ def _sets_of(wanted: DataFrame, documents: DataFrame, classes: DataFrame, words:
 def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, percent: int, sets: Sized | None = None) -> DataFrame:
     """Which of the stored pairs are linked, by the full sets of the two classes."""
     sets = sets or _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), documents, classes, words)
-    met = pairs = pairs.select("a", "b")
-    for side in ("a", "b"):
-        own = sets.frame.select(F.col("class").alias(side), F.col("members").alias(f"members_{side}"))
-        met = attach(met, Sized(own, sets.rows, sets.wide), [side], keys_from=pairs)
-    return stored(met.mapInArrow(_Confirm(percent), "a long, b long, linked boolean"), "confirmed")
+    return stored(_met(pairs.select("a", "b"), sets.frame).mapInArrow(_Confirm(percent), "a long, b long, linked boolean"), "confirmed")
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,17 +301,17 @@ BITMAP = tuple(f"missing_{k}" for k in range(4))
 
 
 def _missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class and head, a bitmap of the head's shingles that the class does not have, by their hash."""
-    names = ["class", "head", *BITMAP]
-    for batch in batches:
-        out = []
-        for one, head, members, heads in records([batch], *batch.schema.names, step=64):
+    """Per class (a) and head (b), a bitmap of the head's shingles that the class does not have, by their hash."""
+
+    def rows() -> Iterator[tuple]:
+        for one, head, members, heads in _both(batches, "members"):
             gone = np.setdiff1d(np.frombuffer(heads, np.uint64), np.frombuffer(members, np.uint64), assume_unique=True)
             bits = np.zeros(64 * len(BITMAP), np.uint8)
             bits[(gone % np.uint64(len(bits))).astype(np.int64)] = 1
-            out.append((one, head, *np.packbits(bits, bitorder="little").view(np.int64).tolist()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+            yield one, head, *np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+    for part in batched(rows(), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["class", "head", *BITMAP])
 
 
 def _apart(mine: str, theirs: str) -> Column:
@@ -325,12 +341,8 @@ def _across(spread: DataFrame, documents: DataFrame, classes: DataFrame, words:
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
     able = attach(able, least, ["key"]).where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least", "shared")
     able = stored(able, "able")
-    refs = stored(able.select("class", "head").distinct(), "references")
-    met = refs
-    for side in ("class", "head"):
-        members = sets.frame.select(F.col("class").alias(side), F.col("members").alias(f"{side}_members"))
-        met = attach(met, Sized(members, sets.rows, sets.wide), [side], keys_from=refs)
-    lacks = met.select("class", "head", "class_members", "head_members").mapInArrow(_missing, "class long, head long, " + ", ".join(f"{c} long" for c in BITMAP))
+    refs = stored(able.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), "references")
+    lacks = _met(refs, sets.frame).mapInArrow(_missing, "class long, head long, " + ", ".join(f"{c} long" for c in BITMAP))
     # all shingles of a head count as shared: what others lack of it takes its own ones off as well
     base = F.when(F.col("class") == F.col("head"), F.col("size")).otherwise(F.col("common"))
     able = attach(able, summarised(lacks, "missing"), ["class", "head"]).withColumn("common", base).drop("head")
@@ -386,7 +398,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     sketches = stored(only(documents, "doc_id", "text").mapInArrow(_Sketch(words), SKETCHES), "sketches")
     there = sketches.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     size = F.min("n_shingles").alias("size")
-    classes = stored(there.groupBy("digest").agg(F.min("doc_id").alias("class"), size, F.min("signature").alias("signature")), "classes")
+    classes = stored(there.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"), size, F.min("signature").alias("signature")), "classes")
     classes = _popular(classes)
     tried, links, state = None, None, None
     for chunks in (FIRST_CHUNKS, SYMBOLS // CHUNK):
@@ -411,8 +423,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     final = sized(components(links.unionByName(last)))
     give_back(spark)
 
-    named = attach(classes.select("digest", "class"), final, ["class"], "left").select("digest", F.coalesce("component", "class").alias("component_id"))
-    named = summarised(named, "named")
+    # a document alone in its class, which has no link, is its own component and needs no row here
+    named = attach(classes.select("digest", "class", "copies"), final, ["class"], "left").where("copies > 1 OR component IS NOT NULL")
+    named = summarised(named.select("digest", F.coalesce("component", "class").alias("component_id")), "named")
     rows = sketches.select("doc_id", "n_shingles", "digest")
     found = attach(rows, named, ["digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -397,6 +397,22 @@ def test_near_duplicates_match_all_pairs(spark, words):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_near_duplicates_never_broadcast_sets_or_signatures(spark, monkeypatch, limit):
+    rng, sent, tables, broadcast, summarised = random.Random(4), [], {}, F.broadcast, near_dedup.summarised
+    monkeypatch.setattr(F, "broadcast", lambda table: sent.append(table.columns) or broadcast(table))
+    monkeypatch.setattr(near_dedup, "summarised", lambda table, name: tables.setdefault(name, summarised(table, name)))
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", limit)
+    rows = [(k, f"{k} alone {k * k}", "a") for k in range(30)] + [(90, "7 alone 49", "a")]
+    for g in range(1, 4):
+        base = [f"v{rng.randrange(300)}" for _ in range(120)]
+        rows += [(100 * g + k, " ".join(w if rng.random() > 0.004 * k else f"x{rng.randrange(300)}" for w in base), "a") for k in range(3, 9)]
+    got = near_dedup.near_duplicates(documents(spark, rows).repartition(3), words=2).collect()
+    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(map(str, plain_components(rows, 2, 80)))
+    assert not [c for c in sum(sent, []) if "signature" in c or "members" in c]
+    assert tables["named"].rows <= 19  # not the texts that are alone
+
+
 def test_a_key_is_shared_at_the_distance_limit():
     rng = np.random.default_rng(3)
     for _ in range(200):
