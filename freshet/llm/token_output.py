@@ -46,8 +46,8 @@ END_ID = 2
 FRAME_IDS = 1 << 18
 #: Documents of one file, about; a file is what one task writes.
 FILE_DOCUMENTS = 8_000
-#: Pieces of text whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 700_000
+#: Pieces of text whose ids a task remembers, some 200 bytes each; when full, all but those of the last texts are forgotten.
+REMEMBERED = 1_400_000
 
 # Fixed values of the Zstandard format and of its seekable layout.
 SKIPPABLE_INDEX = 0x184D2A5D
@@ -90,9 +90,8 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
-        for memory in (self.known, self.first):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        if len(self.first) > REMEMBERED:
+            self.first.clear()
         cut = [self._cut(text) for text in texts]
         heads = [parts.pop(0) for parts in cut]
         self._learn({head for head in heads if head not in self.first}, self.first)
@@ -106,7 +105,10 @@ class Encoder:
         if missing:
             self._learn_together(missing)
         have = self.known.__getitem__
-        return [self.first[head] + b"".join(map(have, parts) if ids is None else ids) for head, parts, ids in zip(heads, cut, found, strict=True)]
+        out = [self.first[head] + b"".join(map(have, parts) if ids is None else ids) for head, parts, ids in zip(heads, cut, found, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known = {piece: have(piece) for parts in cut for piece in parts}
+        return out
 
     @staticmethod
     def _cut(text: str) -> list[str]:

@@ -93,6 +93,18 @@ def test_pieces_encode_like_whole_texts():
     assert encoder.encode(texts) == want
 
 
+def test_a_full_memory_keeps_the_pieces_of_the_last_texts(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 50)
+    encoder, learnt = token_output.Encoder(TOKENIZER), []
+    learn = encoder._learn_together
+    monkeypatch.setattr(encoder, "_learn_together", lambda pieces: learnt.append(len(pieces)) or learn(pieces))
+    before, last = [" ".join(f"{c}{k}" for k in range(60)) for c in ("a", "b")]
+    encoder.encode([before])
+    first = encoder.encode([last])
+    assert encoder.encode([last]) == first == [encoder._ids(last).tobytes()]
+    assert learnt == [59, 59] and len(encoder.known) == 59
+
+
 # 2: top-k
 
 
