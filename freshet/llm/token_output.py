@@ -46,8 +46,9 @@ END_ID = 2
 FRAME_IDS = 1 << 18
 #: Documents of one file, about; a file is what one task writes.
 FILE_DOCUMENTS = 8_000
-#: Pieces of text whose ids a task remembers, some 200 bytes each; when full, all but those of the last texts are forgotten.
-REMEMBERED = 1_400_000
+#: Pieces of text whose ids a task remembers, some 200 bytes each, at most: five eighths of them came again, and when
+#: these are full, all but those of the last texts are forgotten; the others came once and make room for newer ones.
+REMEMBERED = 800_000
 
 # Fixed values of the Zstandard format and of its seekable layout.
 SKIPPABLE_INDEX = 0x184D2A5D
@@ -73,7 +74,9 @@ TOGETHER = 2000
 class Encoder:
     """Ids of whole texts. A text is cut where the vocabulary's own word rule cuts too; the
     library encodes the pieces, each once while it is remembered. Pieces that follow a cut are
-    remembered without their space, so most texts are cut by their spaces alone."""
+    remembered without their space, so most texts are cut by their spaces alone. Most pieces never
+    come again: those that came once are kept apart, in a newer and an older half, and only the
+    others are kept for long."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -82,6 +85,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         # a byte-level token has one character per byte of text, as has an added token of ASCII
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -98,18 +103,35 @@ class Encoder:
         get, missing, found = self.known.get, set(), []
         for parts in cut:
             ids = list(map(get, parts))
-            if None in ids:
-                missing.update(part for part, known in zip(parts, ids, strict=True) if known is None)
-                ids = None
-            found.append(ids)
-        if missing:
-            self._learn_together(missing)
-        have = self.known.__getitem__
-        out = [self.first[head] + b"".join(map(have, parts) if ids is None else ids) for head, parts, ids in zip(heads, cut, found, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known = {piece: have(piece) for parts in cut for piece in parts}
+            gaps = [k for k, known in enumerate(ids) if known is None]
+            missing.update([parts[k] for k in gaps])
+            found.append((ids, gaps))
+        recalled, out = self._recall(missing), []
+        for head, parts, (ids, gaps) in zip(heads, cut, found, strict=True):
+            for k in gaps:
+                ids[k] = recalled[parts[k]]
+            out.append(self.first[head] + b"".join(ids))
+        if len(self.known) > REMEMBERED * 5 // 8:
+            last = {part for parts in cut for part in parts}
+            self.known = {piece: ids for piece, ids in self.known.items() if piece in last}
+        if len(self.once) > REMEMBERED * 3 // 16:
+            self.older, self.once = self.once, {}
         return out
 
+    def _recall(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pieces not known to have come again: those that came once are known from now on, the rest are learnt."""
+        again, new = {}, []
+        for piece in pieces:
+            ids = self.once.pop(piece, None) or self.older.pop(piece, None)
+            if ids is None:
+                new.append(piece)
+            else:
+                again[piece] = ids
+        if new:
+            self._learn_together(new)
+        self.known.update(again)
+        return again | {piece: self.once[piece] for piece in new}
+
     @staticmethod
     def _cut(text: str) -> list[str]:
         """The text up to its first cut, then the pieces after each cut, without the space there."""
@@ -126,10 +148,10 @@ class Encoder:
         for piece in pieces:
             memory[piece] = self._ids(space + piece).tobytes()
 
-    def _learn_together(self, pieces: Iterable[str]) -> None:
+    def _learn_together(self, pieces: Sequence[str]) -> None:
         """Pieces without a space inside are encoded as one text and told apart by where its spaces are."""
         plain = [piece for piece in pieces if " " not in piece]
-        self._learn((piece for piece in pieces if " " in piece), self.known, " ")
+        self._learn((piece for piece in pieces if " " in piece), self.once, " ")
         for at in range(0, len(plain), TOGETHER):
             part = plain[at : at + TOGETHER]
             text = " " + " ".join(part)
@@ -138,7 +160,7 @@ class Encoder:
             cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
             packed, before = ids.tobytes(), 0
             for piece, cut in zip(part, cuts.tolist(), strict=True):
-                self.known[piece] = packed[before:cut]
+                self.once[piece] = packed[before:cut]
                 before = cut
 
 

@@ -105,6 +105,19 @@ def test_a_full_memory_keeps_the_pieces_of_the_last_texts(monkeypatch):
     assert learnt == [59, 59] and len(encoder.known) == 59
 
 
+def test_pieces_that_came_again_outlast_those_that_came_once(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 160)
+    encoder, learnt = token_output.Encoder(TOKENIZER), []
+    learn = encoder._learn_together
+    monkeypatch.setattr(encoder, "_learn_together", lambda pieces: learnt.append(len(pieces)) or learn(pieces))
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    for c in "aabcdef":
+        encoder.encode([text(c)])
+    assert encoder.encode([text("a"), text("a")]) == [encoder._ids(text("a")).tobytes()] * 2
+    assert learnt == [59] * 6
+    assert len(encoder.known) + len(encoder.once) + len(encoder.older) <= 160
+
+
 # 2: top-k
 
 
