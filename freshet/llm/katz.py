@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import only, records, ship
-from freshet.sources.workspace import give_back, stored
+from freshet.sources.workspace import fresh_path, give_back, stored
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -162,10 +162,15 @@ def _index_by_number(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
 
 
 def chunks_of(documents: DataFrame, held_out: Column) -> DataFrame:
-    """Store the documents as chunks."""
+    """Store the documents as chunks, bucketed by chunk: answers come to them, their bodies never move.
+    A task has few chunks, so a bucket is written as they are, a file for each task at most."""
+    spark = documents.sparkSession
     rows = only(documents, "doc_id", "text").select("doc_id", "text", held_out.cast("boolean").alias("held"))
-    ship(documents.sparkSession)
-    return stored(rows.mapInArrow(_Tokenise(), CHUNKS), "chunks")
+    ship(spark)
+    path, buckets = fresh_path(spark, "chunks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "chunks_" + path.rsplit("-", 1)[1]
+    rows.mapInArrow(_Tokenise(), CHUNKS).write.bucketBy(buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 class _Tokenise:

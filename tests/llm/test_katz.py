@@ -110,6 +110,17 @@ def test_chunk_and_bucket_sizes_do_not_matter(spark, monkeypatch):
     assert small == pytest.approx(whole)
 
 
+def test_chunks_stay_where_they_are_stored(spark):
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(TEXTS)], SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = katz.train(df, F.lit(False)).chunks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3  # one for each kind of answer, none for the chunks
+
+
 def test_table_holds_the_counts(spark):
     trained = katz.train(spark.createDataFrame([(1, "a b a", 0.0), (2, "a b", 0.0)], SCHEMA), F.lit(False))
     rows = katz.ngram_table(trained).collect()
