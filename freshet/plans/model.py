@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from freshet.operators.forest import (
     FOLDS,
     IMPUTE_TREES,
     TREES_PER_BAG,
+    Forest,
     ForestImputer,
     ForestSpec,
     fit_bagged,
@@ -31,7 +31,7 @@ from freshet.sources.workspace import stored
 
 @dataclass(frozen=True)
 class ModelRun:
-    model: PipelineModel
+    model: Forest
     imputer: ForestImputer
     candidates: DataFrame
     predictions: DataFrame
